@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .simhash import op4_simhash
+from .substring_dedup import op2_substring_dedup
 
-QUERIES = {"op4_simhash": op4_simhash}
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op4_simhash": op4_simhash,
+}
 ORACLE_SQL: dict[str, str] = {}
