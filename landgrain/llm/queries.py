@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .simhash import op4_simhash
 from .substring_dedup import op2_substring_dedup
+from .tokens import op7_token_ids
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_simhash": op4_simhash,
+    "op7_token_ids": op7_token_ids,
     "op8_decontaminate": op8_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
