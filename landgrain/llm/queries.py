@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontaminate
+from .html_extract import op9_html_extract
 from .simhash import op4_simhash
 from .substring_dedup import op2_substring_dedup
 from .tokens import op7_token_ids
@@ -12,5 +13,6 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op7_token_ids": op7_token_ids,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_extract": op9_html_extract,
 }
 ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
