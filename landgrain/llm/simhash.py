@@ -8,7 +8,10 @@ A fingerprint is replicated to every anchor within covering radius plus threshol
 the home anchor of one of a linked pair is therefore always among the replicas of the other, and
 comparing homes with replicas anchor by anchor loses no link.
 
-Equal fingerprints are one vertex, so exact copies never meet as pairs.
+Equal fingerprints are one vertex, so exact copies never meet as pairs. Before anchors are compared,
+clusters of many near fingerprints shrink to one label each: fingerprints are sorted within equal parts
+of their bits, and neighbours in such an order are linked if they are near. A dense cluster thus costs as
+many chain links as it has members, and the anchors add only links between different clusters.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, materialise, slices
@@ -28,6 +31,8 @@ SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: (first bit, code bits, further bits, threshold of the block)
 BLOCKS = ((0, 31, 0, 2), (31, 31, 2, 1))
 RADIUS = 1
+#: (first bit, bits) that neighbours of a chain have in common
+CHAINS = ((0, 31), (31, 33), (0, 16), (16, 16), (32, 16), (48, 16))
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -83,8 +88,21 @@ def _syndrome(block: Column, code: int) -> Column:
     return s.cast("int")
 
 
+def chains(fps: DataFrame) -> DataFrame:
+    """a, b: links between neighbours in the orders of CHAINS; as many as orders times fingerprints at most."""
+    out = None
+    for first, bits in CHAINS:
+        mask = ((1 << bits) - 1) << first
+        mask -= (mask >> 63) << 64
+        order = Window.partitionBy(F.col("fp").bitwiseAND(F.lit(mask))).orderBy(F.col("fp").bitwiseAND(F.lit(~mask)))
+        near = fps.select("fp", F.lag("fp").over(order).alias("prev")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("prev"))) <= THRESHOLD)
+        near = near.select(F.col("prev").alias("a"), F.col("fp").alias("b"))
+        out = near if out is None else out.unionAll(near)
+    return out
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """a < b: every pair of different fingerprints at THRESHOLD bits or fewer. fps: distinct `fp`.
+    """a, b: labels of different clusters with a pair of fingerprints at THRESHOLD bits or fewer. fps: distinct `fp`, its cluster `c`.
 
     Rows grow as a constant (174) times the number of different fingerprints; the join on the anchor
     can be split by Spark where an anchor is hot.
@@ -95,14 +113,22 @@ def links(fps: DataFrame) -> DataFrame:
         value = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << (code + further)) - 1))
         # a fixed table: 4,992 patterns for the first block, 562 for the second
         patterns = spark.createDataFrame(_patterns(code, further, RADIUS + near), "s int, e long")
-        at = fps.select("fp", value.alias("v"), _syndrome(value, code).alias("s"))
+        at = fps.select("fp", "c", value.alias("v"), _syndrome(value, code).alias("s"))
         tag = F.lit(n << 40)
         home = F.col("v").bitwiseXOR(F.when(F.col("s") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, s - 1)")))
-        homes.append(at.select((home + tag).alias("anchor"), F.col("fp").alias("x")))
-        replicas.append(at.join(F.broadcast(patterns), "s").select((F.col("v").bitwiseXOR(F.col("e")) + tag).alias("anchor"), F.col("fp").alias("y")))
-    near = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= THRESHOLD)
+        homes.append(at.select((home + tag).alias("anchor"), F.col("fp").alias("x"), F.col("c").alias("cx")))
+        replicas.append(at.join(F.broadcast(patterns), "s").select((F.col("v").bitwiseXOR(F.col("e")) + tag).alias("anchor"), F.col("fp").alias("y"), F.col("c").alias("cy")))
+    near = (F.col("cx") < F.col("cy")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= THRESHOLD)
     pairs = homes[0].unionAll(homes[1]).join(replicas[0].unionAll(replicas[1]), "anchor").where(near)
-    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return pairs.select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct()
+
+
+def clusters(fps: DataFrame) -> DataFrame:
+    """fp, root: the least fingerprint reachable by links, for every one of the distinct `fp`."""
+    chained = components(chains(fps)).withColumnRenamed("v", "fp")
+    named = materialise(fps.join(chained, "fp", "left").select("fp", F.coalesce("root", "fp").alias("c")), "chained")
+    joined = components(links(named)).withColumnRenamed("v", "c")
+    return named.join(joined, "c", "left").select("fp", F.coalesce("root", "c").alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -132,9 +158,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = materialise(fingerprints(docs), "fingerprints")
     named = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies")), "vertices")
-    roots = components(links(named.select("fp")))
-    inside = named.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", "n_copies", F.coalesce("root", "fp").alias("root"))
-    least = inside.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    inside = materialise(named.join(clusters(named.select("fp")), "fp"), "clusters")
+    least = inside.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(inside.join(least, "root").select("fp", "component_id", "n_copies"), "fp").select("doc_id", "fp", "component_id", "n_copies")
 
 
