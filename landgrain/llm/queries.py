@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .html_extract import op9_html_extract
+from .quality import op1_quality
 from .simhash import op4_simhash
 from .substring_dedup import op2_substring_dedup
 from .tokens import op7_token_ids
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_simhash": op4_simhash,
     "op7_token_ids": op7_token_ids,
