@@ -188,7 +188,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
         raise ValueError("a run of windows must fit a 63-bit mask")
     fields = "doc_id long, tag int, start int, len int, off int, seed long, run long"
     every = materialise(docs.where("doc_id is not null").mapInArrow(_occurrences(window, seed), fields), "occurrences")
-    shared = every.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
+    # written first, as are the decisions below: Spark splits a hot key of a join only where both sides are shuffled for the join itself
+    shared = materialise(every.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed"), "seeds")
     own = materialise(every.join(shared, "seed", "left_semi").withColumn("class", F.xxhash64("seed", "off", "len", "run")), "shared")
     classes = own.groupBy("class").agg(F.min(F.struct("doc_id", "tag", "start", "len", "seed")).alias("f"))
     classes = materialise(classes.select("class", "f.*"), "classes")
@@ -202,7 +203,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
     early = windows.join(least, "hash").where("lo < doc_id").select("class", "place").distinct()
     early = early.groupBy("class").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("early"))
-    decided = classes.select("class", F.col("doc_id").alias("first")).join(early, "class", "left")
+    decided = materialise(classes.select("class", F.col("doc_id").alias("first")).join(early, "class", "left"), "decided")
     full = F.expr("shiftleft(1L, len) - 1")
     masks = own.join(decided, "class").withColumn("mask", F.when(F.col("doc_id") > F.col("first"), full).otherwise(F.coalesce("early", F.lit(0))))
     return masks.where("mask <> 0").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "mask")).alias("runs"))
