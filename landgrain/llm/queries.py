@@ -8,10 +8,12 @@ from .quality import op1_quality
 from .simhash import op4_simhash
 from .substring_dedup import op2_substring_dedup
 from .tokens import op7_token_ids
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op7_token_ids": op7_token_ids,
     "op8_decontaminate": op8_decontaminate,
