@@ -5,6 +5,8 @@ from __future__ import annotations
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .html_extract import op9_html_extract
 from .quality import op1_quality
+from .rules import op6_quality_rules
+from .sharding import op5_hilbert_shards
 from .simhash import op4_simhash
 from .substring_dedup import op2_substring_dedup
 from .tokens import op7_token_ids
@@ -15,6 +17,8 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_ids": op7_token_ids,
     "op8_decontaminate": op8_decontaminate,
     "op9_html_extract": op9_html_extract,
