@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .html_extract import op9_html_extract
+from .mixing import op10_mixing
 from .quality import op1_quality
 from .rules import op6_quality_rules
 from .sharding import op5_hilbert_shards
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_token_ids": op7_token_ids,
     "op8_decontaminate": op8_decontaminate,
     "op9_html_extract": op9_html_extract,
+    "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
