@@ -1,26 +1,55 @@
-"""Documents through the corpus operators, stage by stage."""
+"""Documents through five corpus operators, stage by stage.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landgrain.llm.simhash import deduplicate
+from landgrain.llm import decontaminate, mixing, quality, sharding, simhash
+from landgrain.llm.common import materialise
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the weakly supervised scorer rejects."""
+    return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id."""
-    return deduplicate(docs)
+    """Keep one document of each near-duplicate group: the one with the smallest doc_id."""
+    return simhash.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a passage of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sample documents by probabilities calibrated to tempered source, language and topic shares."""
+    return mixing.mix(docs)
 
-#: Simulated stages of training and fingerprints are beyond SQL; tests hold each stage against a brute-force version.
+
+def hilbert_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Order along the Hilbert curve and cut shards; adds hilbert, shard and slot."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("hilbert_sharding", hilbert_sharding),
+]
+
+#: The first two stages (a fitted scorer, 64-bit text hashes) are beyond SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from landgrain.llm.common import materialise
-
+    """STAGES on the documents of sf_dir, each stage but the last written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
