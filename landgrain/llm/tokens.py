@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,47 +32,98 @@ CACHE = 500_000
 
 _LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1
 
-#: White space other than space, tab and line ends, and characters that engines disagree on
-_UNUSUAL = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f᠎​﻿]")
-_CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: The pre-tokens of the byte-level tokenizer (a fixed pattern), and the printable stand-ins of bytes
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_STAND_IN = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
+_SPACE = chr(_STAND_IN[0x20])
+#: Marks that are pre-tokens of their own after a letter
+_MARKS = ".,;:!?|*#%&$)"
+#: Scripts up to here are cut into pre-tokens by this module, others by the library
+_LATIN = "\u024f"
 
 
 class Encoder:
     """Encodes texts with the tokenizers library, remembering the ids of chunks.
 
-    A chunk is a run of white space with the run of other characters after it. The tokenizer's
-    pre-tokens never cross from other characters to white space, and what it makes of the rest of
-    a text does not depend on what stands before, so a text's ids are its chunks' ids in turn.
-    Texts with unusual white space or with a special token's string are encoded whole.
+    A chunk is a word with the one space or line end before it. The tokenizer's pre-tokens never cross
+    from other characters to white space, and what it makes of the rest of a text does not depend on what stands
+    before, so a text's ids are its chunks' ids in turn. The library's model encodes the pre-tokens of new
+    chunks, many at a time. Texts with other white space than single spaces and line ends, or with a special token's string,
+    are encoded whole, as are all texts of a tokenizer of another kind.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.chunked = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and not self.tokenizer.pre_tokenizer.add_prefix_space
+        if self.chunked:
+            self.tokenizer.model._resize_cache(0)  # chunks are remembered here
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = CharDelimiterSplit("\n")
+            self.marks = {c: self._whole(c) for c in _MARKS}
+        # ids by word: at the start of a text, after a space, after a line end
+        self.known: tuple[dict[str, bytes], ...] = ({}, {}, {})
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, before: int, words: set[str]) -> None:
+        known, lead = self.known[before], ("", " ", "\n")[before]
+        pieces: list[str] = []
+        cut: list[tuple[str, int]] = []  # word, its pieces
+        ending: list[tuple[str, str, str]] = []  # word, the word without its last mark, the mark
+        for w in words:
+            if w.isalpha() and (w.isascii() or max(w) <= _LATIN):
+                own = ["\n", w] if before == 2 else [lead + w]
+            elif before == 1 and w[-1] in _MARKS and (core := w[:-1]).isalpha() and (w.isascii() or max(w) <= _LATIN):
+                ending.append((w, core, w[-1]))
+                if core in known or core in words:
+                    continue
+                w, own = core, [" " + core]
+            elif max(w) <= _LATIN:
+                own = _PRETOKEN.findall(lead + w)
+            else:
+                known[w] = self._whole(lead + w)
+                continue
+            pieces += own
+            cut.append((w, len(own)))
+        if cut:
+            text = "\n".join(x.encode().decode("latin-1").translate(_STAND_IN) if not x.isascii() or "\n" in x else x.replace(" ", _SPACE) for x in pieces)
+            e = self.bare.encode(text, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(e.word_ids), np.cumsum([n for _, n in cut]))
+            at = 0
+            for (w, _), end in zip(cut, (4 * ends).tolist(), strict=True):
+                known[w] = ids[at:end]
+                at = end
+        for w, core, mark in ending:
+            known[w] = known[core] + self.marks[mark]
+
+    def _encode(self, text: str) -> bytes:
+        if not self.chunked or self.special and self.special.search(text):
+            return self._whole(text)
+        if " ".join(text.split()) != text.replace("\n", " ") or not text:
+            return self._whole(text)
+        lines = [x.split(" ") for x in text.split("\n")]
+        starts, after_space = self.known[2], self.known[1]
+        try:
+            out = [(self.known[0] if i == 0 else starts)[x[0]] + b"".join(map(after_space.__getitem__, x[1:])) for i, x in enumerate(lines)]
+        except KeyError:
+            for before, words in enumerate(({lines[0][0]}, {w for x in lines for w in x[1:]}, {x[0] for x in lines[1:]})):
+                self._learn(before, words.difference(self.known[before]))
+            out = [(self.known[0] if i == 0 else starts)[x[0]] + b"".join(map(after_space.__getitem__, x[1:])) for i, x in enumerate(lines)]
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        out: list = []
-        for text in texts:
-            if _UNUSUAL.search(text) or self.special and self.special.search(text):
-                out.append(self._ids([text])[0])
-                continue
-            chunks = _CHUNK.findall(text)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-            except KeyError:
-                new = list({c for c in chunks if c not in self.known})
-                self.known.update(zip(new, self._ids(new), strict=True))
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return [np.frombuffer(x, "<u4") for x in out]
+        if sum(map(len, self.known)) > CACHE:
+            for k in self.known:
+                k.clear()
+        return [np.frombuffer(self._encode(x), "<u4") for x in texts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -88,11 +140,12 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     """The payload of a block."""
     lengths = np.array([len(x) for x in ids], "<u4")
     every = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-    distinct, at, counts = np.unique(every, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -counts))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    r = rank[at].astype("<u4")
+    counts = np.bincount(every, minlength=1)
+    distinct = np.flatnonzero(counts)
+    order = np.lexsort((distinct, -counts[distinct]))
+    rank = np.zeros(len(counts), "<u4")
+    rank[distinct[order]] = np.arange(len(order))
+    r = rank[every]
     size = 1 + (r > 0xFF) + (r > 0xFFFF) + (r > 0xFFFFFF)
     control = np.zeros(-len(r) % 4 + len(r), np.int64)
     control[: len(r)] = size - 1
