@@ -51,6 +51,19 @@ LABELLERS = (
 LEAST = {"distinct": 40, "runs": 5, "ends": 30, "common": 25, "length": 8, "symbols": 1, "capitals": 4, "lines": 1, "shouts": 1}
 
 
+_PUNCTUATION, _SYMBOLS = ".,;:!?\"'()", frozenset("#*$%&|<>@\\^~=_{}[]")
+
+
+def _collapse(shape: str) -> str:
+    """Runs of one character as one."""
+    return shape if len(shape) < 2 else "".join(c for c, d in zip(shape, "\0" + shape, strict=False) if c != d)
+
+
+#: Hashed features of the measures, by labeller and step
+_STEPS = (0.003, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9, 2.5, 4, 6.5, 9)
+_MEASURED = np.array([[zlib.crc32(f"{name}={step}".encode()) % BUCKETS for step in range(len(_STEPS) + 1)] for name, *_ in LABELLERS], np.int32)
+
+
 class Words:
     """Numbers words and remembers what is counted of them; forgets all beyond a bound."""
 
@@ -60,19 +73,27 @@ class Words:
         self.number: dict[bytes, int] = {}
         self.fields = np.zeros((self.MOST + 1, _FIELDS), np.float32)
         self.shape = np.zeros(self.MOST + 1, np.int32)
+        self.hashes: dict[str, int] = {}
 
     def _add(self, word: bytes) -> int:
         k = self.number[word] = len(self.number)
         w = word.decode("utf-8", "replace")
-        core = w.strip(".,;:!?\"'()").lower()
-        self.fields[k] = (len(w), sum(c in "#*$%&|<>@\\^~=_{}[]" for c in w), sum(c.isupper() for c in w), sum(c.isalpha() for c in w), w[-1] in ".!?", core in STOP, w.count("!"))
-        shape, last = [], ""
-        for c in w[:64]:
-            s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c if c < "\x7f" else "?"
-            if s != last:
-                shape.append(s)
-            last = s
-        self.shape[k] = zlib.crc32("".join(shape).encode()) % BUCKETS
+        core = w.strip(_PUNCTUATION)
+        if core.isalpha() and (core.islower() or core.isupper() or core.istitle()):
+            # the usual words, without a look at every letter
+            before, after = w[: w.index(core)], w[w.index(core) + len(core) :]
+            capitals = 0 if core.islower() else 1 if core.istitle() else len(core)
+            middle = "a" if not capitals else "A" if core.isupper() else "Aa"
+            symbols, letters, shape = 0, len(core), _collapse(before) + middle + _collapse(after)
+        else:
+            symbols, capitals, letters = sum(c in _SYMBOLS for c in w), sum(c.isupper() for c in w), sum(c.isalpha() for c in w)
+            shape = _collapse("".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c if c < "\x7f" else "?" for c in w[:64]))
+        self.fields[k] = (len(w), symbols, capitals, letters, w[-1] in ".!?", core.lower() in STOP, w.count("!"))
+        if shape not in self.hashes:
+            if len(self.hashes) > 50_000:
+                self.hashes.clear()
+            self.hashes[shape] = zlib.crc32(shape.encode()) % BUCKETS
+        self.shape[k] = self.hashes[shape]
         return k
 
     def measure(self, text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
@@ -95,9 +116,8 @@ class Words:
         m = np.array([symbols / n, capitals / max(1.0, letters), len(set(words)) / n, sum(map(eq, words, islice(words, 1, None))) / n, 1 - len(set(lines)) / max(1, len(lines)), ends / n, common / n, size / n, shouts / n])
         # a long text repeats words as such: distinct words are judged against their usual growth
         m[2] = min(1.0, m[2] * max(1.0, n / 400) ** 0.25)
-        steps = np.digitize(m, (0.003, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9, 2.5, 4, 6.5, 9))
-        own = [zlib.crc32(f"{LABELLERS[j][0]}={s}".encode()) % BUCKETS for j, s in enumerate(steps.tolist())]
-        return m, np.concatenate([*shapes, np.array(own, np.int32)]), n
+        own = _MEASURED[np.arange(len(LABELLERS)), np.searchsorted(_STEPS, m, "right")]
+        return m, np.concatenate([*shapes, own]), n
 
 
 def votes(measures: np.ndarray, n: int) -> list[int]:
