@@ -70,7 +70,7 @@ class _Words:
     """Rolling hashes over the words of several texts laid end to end."""
 
     def __init__(self, texts: list[bytes], hashes: _Hashes, powers: _Powers) -> None:
-        lists = [t.split() for t in texts]
+        lists = [(t or b"").split() for t in texts]
         self.lengths = np.array([len(x) for x in lists], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         n = int(self.lengths.sum())
