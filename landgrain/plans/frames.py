@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators import clusters, features, inference, segments
+from ..operators import clusters, comparables, confidence, features, inference, scaling, segments
 from ..sources.properties import star_properties
 
 
@@ -82,3 +82,50 @@ class Frames:
         rows = self.clustered(segments.attach_neighbors(self.located(self.train), self.neighbor_features))
         rows = rows.withColumns({"spectral_1": (F.col("row_id") % 17) / 17.0, "spectral_2": (F.col("row_id") % 5) / 5.0})
         return inference.segment_embedding(rows, ["spectral_1", "spectral_2"]).cache()
+
+    @cached_property
+    def scaled(self) -> DataFrame:
+        """All described rows with their scaled vectors, fitted on the train rows."""
+        rows = self.described(self.keyed).cache()
+        train = rows.where("split = 'train'")
+        for columns, name in ((scaling.CORE, "core"), (scaling.ACCESS, "access")):
+            rows = scaling.scale(rows, scaling.fit_scaling(train, columns), columns, name)
+        return rows.cache()
+
+    @cached_property
+    def compared(self) -> DataFrame:
+        """Scored pairs of all train rows against the train rows with a value."""
+        train = self.scaled.where("split = 'train'")
+        return comparables.search(train, train.where("tong_gia > 0"), self.embedding, self.config)
+
+    @cached_property
+    def summaries(self) -> DataFrame:
+        return comparables.summary(self.compared, self.config).cache()
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        """Train rows with bands, confidence and, as the prediction, the band's median."""
+        rows = self.scaled.where("split = 'train'").join(self.summaries, "row_id", "left").withColumn("predicted", F.col("total_value_band_median"))
+        rows = rows.withColumns({"case_type": F.lit("CASE_1_SEGMENT_IN_TRAIN"), "assigned_cluster_method": F.lit("SEGMENT_LOOKUP")})
+        return confidence.add_errors(confidence.add_confidence(rows))
+
+    @cached_property
+    def roads(self) -> DataFrame:
+        """A stand-in road for every street segment with a coordinate: three points through it."""
+        m = self.master.where("segment_lat_for_model is not null")
+        k = F.pmod(F.length("segment_key") * 7, F.lit(5)) - 2
+        point = lambda dx, dy: F.struct((F.col("segment_lon_for_model") + dx).alias("lon"), (F.col("segment_lat_for_model") + dy).alias("lat"))
+        return m.select(F.col("segment_key").alias("osmid"), F.array(F.col("pho"), F.lit(None).cast("string")).alias("name"), F.array(point(-0.012, -0.003 * k), point(0.0005 * k, 0.0001), point(0.009, 0.004 * k)).alias("points"))
+
+
+_known: dict[tuple[str, str, str], Frames] = {}
+
+
+def frames(spark: SparkSession, sf_dir: str, config: Config = Config()) -> Frames:
+    """The frames of a folder, shared by the queries of one application, so that cached tables are built once."""
+    key = (spark.sparkContext.applicationId, sf_dir, repr(config))
+    if key not in _known:
+        for old in [k for k in _known if k[0] != key[0]]:
+            del _known[old]
+        _known[key] = Frames(spark, sf_dir, config)
+    return _known[key]

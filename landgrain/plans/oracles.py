@@ -82,10 +82,11 @@ def with_ctes(*names: str) -> str:
     order: list[str] = []
 
     def add(n: str) -> None:
+        if n in order:
+            return
         for x in CTE[n][0]:
             add(x)
-        if n not in order:
-            order.append(n)
+        order.append(n)
 
     for n in names:
         add(n)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions.stats import weighted_quantiles
 from ..functions.text import normalize_admin, normalize_text, parse_coordinate, render_flags
-from ..operators import clusters, features, inference, segments
-from .frames import Frames
+from ..operators import clusters, comparables, confidence, diagnostics, features, graph, inference, model, roads, scaling, segments
+from .frames import Frames, frames
 
 
 def _r(*names: str, digits: int = 6) -> list:
@@ -21,116 +22,260 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coordinates_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = Frames(spark, sf_dir).raw
+    raw = frames(spark, sf_dir).raw
     typed = F.when(F.col("row_id") % 3 == 0, F.round(F.col("manual_lat") * 1e6).cast("long").cast("string")).when(F.col("row_id") % 3 == 1, F.col("manual_lat").cast("string")).otherwise("n/a")
     return raw.select("row_id", F.round(parse_coordinate(typed), 6).alias("lat"))
 
 
 def alias_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = Frames(spark, sf_dir).raw
+    raw = frames(spark, sf_dir).raw
     return segments.alias_report(raw, segments.canonical_lookup(raw, "pho_input"), "pho_input")
 
 
 def canonical_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.canonical_lookup(Frames(spark, sf_dir).raw, "pho_input")
+    return segments.canonical_lookup(frames(spark, sf_dir).raw, "pho_input")
 
 
 def segment_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = Frames(spark, sf_dir).master
+    m = frames(spark, sf_dir).master
     return m.select("segment_key", "quan", "phuong", "pho", "train_sample_count", "coord_source", "coord_found", "coord_match_status", render_flags(F.col("coord_flags")).alias("coord_warning_flag"), *_r("segment_lat", "segment_lon", "segment_lat_for_model", "segment_lon_for_model"), *_r("distance_to_ward_median_m", digits=3))
 
 
 def segment_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Frames(spark, sf_dir).neighbors.select("segment_key", "neighbor_segment_key", "neighbor_rank", "radius_bucket", *_r("distance_m", digits=3), *_r("spatial_weight"))
+    return frames(spark, sf_dir).neighbors.select("segment_key", "neighbor_segment_key", "neighbor_rank", "radius_bucket", *_r("distance_m", digits=3), *_r("spatial_weight"))
 
 
 def neighbor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Frames(spark, sf_dir).neighbor_features.select("segment_key", "neighbor_count_300m", "neighbor_count_500m", "neighbor_count_1000m", *_r("nearest_segment_distance_m", digits=3))
+    return frames(spark, sf_dir).neighbor_features.select("segment_key", "neighbor_count_300m", "neighbor_count_500m", "neighbor_count_1000m", *_r("nearest_segment_distance_m", digits=3))
 
 
 def located_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
+    f = frames(spark, sf_dir)
     return f.located(f.keyed).select("row_id", "segment_key", "has_valid_coordinate", render_flags(F.col("coord_flags")).alias("coord_warning_flag"), render_flags(F.col("target_flags")).alias("target_flag"), *_r("segment_lat_for_model", "segment_lon_for_model", "log_tong_gia"))
 
 
 def segment_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Frames(spark, sf_dir).frequencies
+    return frames(spark, sf_dir).frequencies
 
 
 def engineered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
+    f = frames(spark, sf_dir)
     return f.engineered(f.keyed).select("row_id", "access_band", "pho_count_train", "phuong_count_train", "pho_rare", "phuong_rare", *_r("log_dien_tich", "log_khoang_cach", "log_do_rong_ngo", "ti_le_mat_tien", "mat_tien_x_so_mat_tien", "ngo_x_lt", "access_score"))
 
 
 def segment_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = Frames(spark, sf_dir).heterogeneity
+    h = frames(spark, sf_dir).heterogeneity
     return h.select("segment_key", "segment_sample_count_train", "segment_heterogeneity_flag", "segment_heterogeneity_penalty", *_r("mean", "median", "std", "p25", "p75", digits=3), *_r("segment_price_cv", "segment_price_iqr_ratio", "segment_heterogeneity_score"))
 
 
 def heterogeneity_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Frames(spark, sf_dir).templates.select("level", "key", "segment_heterogeneity_flag", *_r(*features.HETEROGENEITY))
+    return frames(spark, sf_dir).templates.select("level", "key", "segment_heterogeneity_flag", *_r(*features.HETEROGENEITY))
 
 
 def property_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
+    f = frames(spark, sf_dir)
     out = features.attach_heterogeneity(f.keyed, f.heterogeneity, f.templates)
     return out.select("row_id", "segment_heterogeneity_flag", "segment_heterogeneity_source", *_r("segment_price_cv", "segment_heterogeneity_score", "segment_heterogeneity_penalty"))
 
 
 def segment_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
+    f = frames(spark, sf_dir)
     b = features.segment_band(f.clustered(f.clean))
     return b.select("segment_key", "dominant_cluster", "segment_value_count", *_r("segment_value_p25", "segment_value_p50", "segment_value_p75", "cluster_value_p25", "cluster_value_p50", "cluster_value_p75", digits=4), *_r("segment_band_confidence"))
 
 
 def value_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
+    f = frames(spark, sf_dir)
     rows = f.clean.withColumn("weight", (F.col("row_id") % 6).cast("double"))
     return weighted_quantiles(rows, ["segment_key"], "tong_gia", "weight", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, "row_id").select("segment_key", *_r("p25", "p50", "p75", digits=7))
 
 
 def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
+    f = frames(spark, sf_dir)
     return clusters.profiles(f.clustered(f.train)).select("cluster", "cluster_sample_count", *_r("cluster_distance_scale", "cluster_mean_confidence"), *_r("cluster_total_value_p25", "cluster_total_value_median", "cluster_total_value_p75", digits=4))
 
 
 def property_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
+    f = frames(spark, sf_dir)
     out = clusters.attach_profiles(f.clustered(f.keyed), clusters.profiles(f.clustered(f.train)))
     return out.select("row_id", "cluster_sample_count", *_r("distance_to_cluster_center"), *_r("cluster_total_value_median", digits=4))
 
 
 def cluster_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
+    f = frames(spark, sf_dir)
     return clusters.diagnostics(f.clustered(f.clean)).select("cluster", "n", *_r("median_value", "mad_value", digits=4), *_r("dominant_segment_share", "price_ratio"))
 
 
 def special_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
+    f = frames(spark, sf_dir)
     return f.described(f.keyed).select("row_id", "special_asset_flag", render_flags(F.col("special_asset_reasons")).alias("special_asset_reason"), *_r("special_asset_score"))
 
 
 def segment_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Frames(spark, sf_dir).embedding
+    e = frames(spark, sf_dir).embedding
     return e.select("segment_key", "quan_norm", "phuong_norm", "train_sample_count", "cluster", *_r("segment_lat_for_model", "spectral_1", "spectral_2"), *_r("cluster_confidence", digits=9))
 
 
 def location_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.location_templates(Frames(spark, sf_dir).embedding, ["spectral_1", "cluster_confidence"]).select("level", "key", "cluster", *_r("spectral_1", "cluster_confidence"))
+    return inference.location_templates(frames(spark, sf_dir).embedding, ["spectral_1", "cluster_confidence"]).select("level", "key", "cluster", *_r("spectral_1", "cluster_confidence"))
 
 
 def inference_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
+    f = frames(spark, sf_dir)
     cols = ["spectral_1", "spectral_2", "cluster_confidence"]
     out = inference.represent(f.located(f.keyed), f.embedding, f.neighbor_features, inference.location_templates(f.embedding, cols), cols, f.config)
     return out.select("row_id", "case_type", "assigned_cluster_method", render_flags(F.col("inference_flags")).alias("inference_flag"), "neighbor_count_500m", "neighbor_count_1000m", *_r("nearest_segment_distance_m", digits=3), *_r("spectral_1", "spectral_2"), *_r("cluster_confidence", digits=9))
 
 
+def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames(spark, sf_dir).scaled.select("row_id", *[F.round(F.col("core")[i], 6).alias(f"core_{i}") for i in range(8)], *[F.round(F.col("access")[i], 6).alias(f"access_{i}") for i in range(4)])
+
+
+def location_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    out = scaling.location_vector(f.keyed, scaling.fit_location(f.train))
+    return out.select("row_id", *[F.col("location")[i].alias(f"location_{i}") for i in range(10)])
+
+
+def comparable_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    return comparables.search_radius(f.train, comparables.radius_table(f.embedding, f.config), f.clean, f.config)
+
+
+def comparable_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = comparables.top(frames(spark, sf_dir).compared)
+    return t.select(F.col("q_row_id").alias("input_id"), F.col("c_row_id").alias("comparable_row_id"), F.col("c_segment_key").alias("comparable_segment_key"), "comparable_source", "same_cluster", "same_access_band", *_r("distance_m", digits=3), *_r("feature_similarity", "access_similarity", "area_similarity", "candidate_reliability", "similarity_score"), F.col("c_tong_gia").alias("comparable_total_value"))
+
+
+def comparable_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = frames(spark, sf_dir).summaries
+    return s.select("row_id", "comparable_count", "max_search_radius_m", render_flags(F.col("comparable_flags")).alias("comparable_warning_flag"), *_r("total_value_band_p25", "total_value_band_median", "total_value_band_p75", digits=3), *_r("comparable_confidence", "same_cluster_ratio", "access_band_match_ratio", "special_comparable_ratio", "band_confidence", "mean_candidate_reliability", "same_segment_ratio", "heterogeneous_comparable_ratio", "weighted_band_width_ratio"))
+
+
+def comparable_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = diagnostics.comparable_quality(frames(spark, sf_dir).judged)
+    return q.select("row_id", "comparable_count", "max_search_radius_m", *_r("comparable_confidence", "band_confidence", "weighted_band_width_ratio"))
+
+
+def confidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = frames(spark, sf_dir).judged
+    return c.select("row_id", confidence.confidence_group(F.col("confidence_score")).alias("confidence_group"), confidence.confidence_bucket(F.col("confidence_score")).alias("confidence_bucket"), *_r("confidence_score", "ape", "log_error"), *_r("abs_error", digits=3))
+
+
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confidence.explain(frames(spark, sf_dir).judged).select("row_id", "explanation_text")
+
+
+_METRICS = ("mae", "rmse", "mape", "median_ae", "mean_abs_log_error")
+
+
+def group_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = frames(spark, sf_dir).judged.withColumn("confidence_group", confidence.confidence_group(F.col("confidence_score")))
+    e = diagnostics.error_reports(j, ("nam", "segment_key", "assigned_cluster", "access_band", "special_asset_flag", "segment_heterogeneity_flag", "confidence_group", "case_type"))
+    return e.select("group_name", "group_value", "n", *_r(*_METRICS, digits=4))
+
+
+def overall_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = frames(spark, sf_dir).judged.withColumn("everything", F.lit("all"))
+    return diagnostics.group_metrics(e, "everything", extra=("confidence_score",)).select("group_name", "n", *_r(*_METRICS, "mean_confidence_score", digits=4))
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.calibration(frames(spark, sf_dir).judged).select("bucket", "n", *_r("mean_confidence", "mean_ape", "median_ape", "band_coverage"))
+
+
+def workflow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    w = diagnostics.workflow_metrics(f.judged, f.master)
+    return w.select("n_rows", "rows_missing_geo", "rows_heterogeneous", "n_segments", "segment_outliers", "segments_missing_geo", *_r("coordinate_match_rate"))
+
+
+def focus_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.focus_row(frames(spark, sf_dir).judged).select("row_id", *_r("confidence_score"))
+
+
+def map_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.map_inputs(frames(spark, sf_dir).judged).select("row_id", *_r("confidence_score"))
+
+
+def _evidence(f: Frames) -> tuple[DataFrame, DataFrame]:
+    inputs = f.master.where("segment_lat_for_model is not null").select(F.col("segment_key").alias("row_id"), F.col("pho").alias("pho_canonical"), F.col("segment_lat_for_model").alias("lat"), F.col("segment_lon_for_model").alias("lon"))
+    return inputs, roads.evidence(inputs, roads.standardise(f.roads), f.config)
+
+
+def road_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, e = _evidence(frames(spark, sf_dir))
+    return e.select("row_id", "road_id", "match_type", "match_confidence", "included", "exclusion_reason", *_r("clipped_length_m", "distance_m", digits=3))
+
+
+def road_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, e = _evidence(frames(spark, sf_dir))
+    return roads.summarise(i, e).select("row_id", "road_count", "included_roads", "excluded_roads", render_flags(F.col("road_flags")).alias("road_flag"), *_r("mean_match_confidence", "road_evidence_confidence"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.affinity(graph.knn(_vectors(spark, sf_dir), 10)).select("i", "j", *_r("w"))
+
+
+def graph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.local_density(graph.affinity(graph.knn(_vectors(spark, sf_dir), 10))).select("i", *_r("density"))
+
+
+def hybrid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    near = graph.affinity(graph.knn(v, 10))
+    g = graph.blend({"feature": near, "access": graph.boost_same(near, v.select("i", "label"))}, {"feature": 0.7, "access": 0.3}, nodes=v)
+    return graph.normalise(g).select("i", "j", *_r("w"))
+
+
+def graph_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.report(graph.affinity(graph.knn(_vectors(spark, sf_dir), 10))).select("edges", "nodes", *_r("total_weight", digits=4))
+
+
+def cluster_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignment to four fixed centres: the axes' ends in the first two dimensions."""
+    centers = [(k, [x if d == k // 2 else 0.0 for d in range(64)]) for k, x in enumerate((1.0, -1.0, 1.0, -1.0))]
+    out = clusters.normalise_distance(clusters.assign(_vectors(spark, sf_dir), centers))
+    return out.select(F.col("i").alias("vec_id"), "assigned_cluster", *_r("cluster_center_distance_raw", "cluster_confidence", "distance_to_cluster_center"))
+
+
+def spectral_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = graph.spectral(graph.affinity(graph.knn(_vectors(spark, sf_dir), 10)))
+    return clusters.assign(s, graph.centers(graph.kmeans(s, 8))).select("i", "assigned_cluster", "cluster_confidence")
+
+
+def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.sweep(graph.spectral(graph.affinity(graph.knn(_vectors(spark, sf_dir), 10))), [4, 8])
+
+
+def _modelled(f: Frames) -> tuple[DataFrame, DataFrame]:
+    every = f.scaled.drop("core", "access").join(f.summaries.drop("comparable_flags"), "row_id", "left")
+    return every.where("split = 'train'").cache(), every.where("split = 'test'")
+
+
+def value_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir, Config(model_iterations=5))
+    train, test = _modelled(f)
+    return model.predict(model.fit(train, model.feature_sets()["model_4"], f.config), test).select("row_id", "tong_gia", "predicted")
+
+
+def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir, Config(model_iterations=3, folds=3))
+    train, _ = _modelled(f)
+    return model.out_of_fold(train, model.feature_sets()["model_4"], config=f.config).select("row_id", "fold", "tong_gia", "predicted")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         text_normalize, coordinates_parse, canonical_streets, alias_report, segment_master, segment_neighbors, neighbor_features, located_properties, segment_frequencies, engineered_features,
         segment_heterogeneity, heterogeneity_templates, property_heterogeneity, segment_bands, value_quantiles, cluster_profiles, property_clusters, cluster_diagnostics, special_assets,
-        segment_embedding, location_templates, inference_cases,
+        segment_embedding, location_templates, inference_cases, scaled_features, location_features, comparable_radius, comparable_results, comparable_summaries, comparable_quality, confidence_scores, explanations,
+        group_errors, overall_errors, calibration, workflow_metrics, focus_row, map_inputs, road_evidence, road_summary, knn_graph, graph_density, hybrid_graph, graph_report, cluster_assignment, spectral_clusters,
+        cluster_sweep, value_model, out_of_fold,
     )
 }
