@@ -27,17 +27,22 @@ def radius_table(embedding: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def search_radius(queries: DataFrame, reach: DataFrame, candidates: DataFrame, config: Config = Config(), exclude_self: bool = True) -> DataFrame:
-    """row_id, segment_key, used_radius: the first radius of 0 and the ladder with enough candidates, else the largest.
+    """queries with used_radius and n_pool: the first radius of 0 and the ladder with enough candidates, else the largest.
 
-    A query that is itself a candidate needs one more where it is excluded.
+    A query that is itself a candidate needs one more where it is excluded. Counts are made at segment grain.
     """
     counts = candidates.groupBy(F.col("segment_key").alias("reach_key")).agg(F.count(F.lit(1)).alias("n"))
     ladder = (0, *config.radii_m)
     near = reach.join(counts, "reach_key").groupBy("segment_key").agg(*[F.coalesce(F.sum(F.when(F.col("distance_m") <= r, F.col("n"))), F.lit(0)).alias(f"n_{r}") for r in ladder])
     own = queries.join(near, "segment_key", "left")
-    less = F.when(F.coalesce(F.col("tong_gia") > 0, F.lit(False)) & F.lit(exclude_self), 1).otherwise(0)
+    less = _itself(exclude_self)
     used = F.coalesce(*[F.when(F.col(f"n_{r}") - less >= config.min_comparables, F.lit(r)) for r in ladder], F.lit(config.max_radius_m))
-    return own.select("row_id", "segment_key", used.alias("used_radius"))
+    return own.withColumns({"used_radius": used, "n_pool": F.coalesce(*[F.when(used == r, F.col(f"n_{r}") - less) for r in ladder], F.lit(0))}).drop(*[f"n_{r}" for r in ladder])
+
+
+def _itself(exclude_self: bool) -> Column:
+    """1 where a query is a candidate that must be left out."""
+    return F.when(F.coalesce(F.col("tong_gia") > 0, F.lit(False)) & F.lit(exclude_self), 1).otherwise(0)
 
 
 #: What a query and a candidate bring to the comparison
@@ -50,21 +55,23 @@ def pool(queries: DataFrame, candidates: DataFrame, reach: DataFrame, config: Co
     Queries of segments without train rows, and those that no segment within reach serves, take their ward's candidates,
     else their district's, else all; a query never meets itself there either.
     """
-    q = queries.select("row_id", "tong_gia", *CARRIED)
+    less = _itself(exclude_self)
+    q = search_radius(queries.select("row_id", "tong_gia", *CARRIED), reach, candidates, config, exclude_self)
+    for key, n in (("phuong_norm", "n_ward"), ("quan_norm", "n_district")):
+        q = q.join(candidates.groupBy(key).agg(F.count(F.lit(1)).alias(n)), key, "left")
+    source = F.when(F.col("n_pool") > 0, "segment").when(F.col("n_ward") > less, "ward").when(F.col("n_district") > less, "district").otherwise("all")
+    q = q.withColumn("pool_source", source).withColumn("used_radius", F.when(F.col("pool_source") == "segment", F.col("used_radius")).otherwise(config.max_radius_m))
+    q = q.select(F.col("row_id").alias("q_row_id"), "used_radius", "pool_source", *[F.col(x).alias(f"q_{x}") for x in CARRIED])
     c = candidates.select(F.col("row_id").alias("c_row_id"), F.col("tong_gia").alias("c_tong_gia"), *[F.col(x).alias(f"c_{x}") for x in (*CARRIED, "pho_count_train", "cluster_confidence", "segment_heterogeneity_penalty")])
-    radius = search_radius(q, reach, candidates, config, exclude_self).drop("segment_key")
-    q = q.join(radius, "row_id").select(F.col("row_id").alias("q_row_id"), "used_radius", *[F.col(x).alias(f"q_{x}") for x in CARRIED])
-    not_self = F.col("q_row_id") != F.col("c_row_id") if exclude_self else F.lit(True)
-    own = q.join(reach.withColumnsRenamed({"segment_key": "q_segment_key", "reach_key": "c_segment_key", "distance_m": "segment_distance_m"}), "q_segment_key").where(F.col("segment_distance_m") <= F.col("used_radius"))
-    found = own.join(c, "c_segment_key").where(not_self).drop("segment_distance_m").withColumn("pool_source", F.lit("segment"))
-    # queries without any candidate so far, level by level; the counts are at the grain of names
-    left = q.join(found.select("q_row_id").distinct(), "q_row_id", "left_anti")
-    wards, districts = (candidates.groupBy(F.col(k).alias(f"q_{k}")).agg(F.count(F.lit(1)).alias(n)) for k, n in (("phuong_norm", "n_ward"), ("quan_norm", "n_district")))
-    left = left.join(wards, "q_phuong_norm", "left").join(districts, "q_quan_norm", "left").withColumn("used_radius", F.lit(config.max_radius_m))
-    ward = left.where("n_ward > 0").drop("n_ward", "n_district").join(c, F.col("q_phuong_norm") == F.col("c_phuong_norm")).where(not_self).withColumn("pool_source", F.lit("ward"))
-    district = left.where("n_ward is null and n_district > 0").drop("n_ward", "n_district").join(c, F.col("q_quan_norm") == F.col("c_quan_norm")).where(not_self).withColumn("pool_source", F.lit("district"))
-    rest = left.where("n_ward is null and n_district is null").drop("n_ward", "n_district").join(c).where(not_self).withColumn("pool_source", F.lit("all"))
-    return found.unionByName(ward).unionByName(district).unionByName(rest)
+    # one equi-join: a query names the segments, ward or district it draws from, a candidate those it belongs to
+    key = lambda mark, x: F.concat(F.lit(mark), F.coalesce(x, F.lit("")))
+    near = reach.select(F.col("segment_key").alias("q_segment_key"), key("s:", F.col("reach_key")).alias("key"), F.col("distance_m").alias("__d"))
+    drawn = q.where("pool_source = 'segment'").join(near, "q_segment_key").where(F.col("__d") <= F.col("used_radius")).drop("__d")
+    named = F.when(F.col("pool_source") == "ward", key("w:", F.col("q_phuong_norm"))).when(F.col("pool_source") == "district", key("d:", F.col("q_quan_norm"))).otherwise("*")
+    drawn = drawn.unionByName(q.where("pool_source <> 'segment'").withColumn("key", named))
+    offered = c.withColumn("key", F.explode(F.array(key("s:", F.col("c_segment_key")), key("w:", F.col("c_phuong_norm")), key("d:", F.col("c_quan_norm")), F.lit("*"))))
+    pairs = drawn.join(offered, "key").drop("key")
+    return pairs.where(F.col("q_row_id") != F.col("c_row_id")) if exclude_self else pairs
 
 
 def cascade(pairs: DataFrame, config: Config = Config()) -> DataFrame:

@@ -139,7 +139,7 @@ def location_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def comparable_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
-    return comparables.search_radius(f.train, comparables.radius_table(f.embedding, f.config), f.clean, f.config)
+    return comparables.search_radius(f.train, comparables.radius_table(f.embedding, f.config), f.clean, f.config).select("row_id", "segment_key", "used_radius")
 
 
 def comparable_results(spark: SparkSession, sf_dir: str) -> DataFrame:
