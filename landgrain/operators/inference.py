@@ -13,7 +13,7 @@ from ..functions.text import flags
 def segment_embedding(train: DataFrame, spectral: list[str]) -> DataFrame:
     """Per train segment: names, model coordinates, mean coordinates of the embedding, commonest cluster, rows."""
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("row_pos"))).alias(c)
-    return train.groupBy("segment_key").agg(*[first(c) for c in ("quan_norm", "phuong_norm", "pho_canonical", "segment_lat_for_model", "segment_lon_for_model")], F.count(F.lit(1)).alias("train_sample_count"), *[F.avg(c).alias(c) for c in (*spectral, "cluster_confidence", "distance_to_cluster_center", "local_embedding_density")], F.mode("cluster", True).alias("cluster")).withColumn("segment_found_in_train", F.lit(True))
+    return train.groupBy("segment_key").agg(*[first(c) for c in ("quan_norm", "phuong_norm", "pho_canonical", "segment_lat_for_model", "segment_lon_for_model")], F.count(F.lit(1)).alias("train_sample_count"), *[F.avg(c).alias(c) for c in dict.fromkeys((*spectral, "cluster_confidence", "distance_to_cluster_center", "local_embedding_density"))], F.mode("cluster", True).alias("cluster")).withColumn("segment_found_in_train", F.lit(True))
 
 
 def location_templates(embedding: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import clusters, comparables, confidence, features, inference, model, scaling, segments
+from ..sources.staging import staged
 
 EMBEDDED = ["spectral_1", "spectral_2", "cluster_confidence", "distance_to_cluster_center", "local_embedding_density"]
 
@@ -23,14 +24,15 @@ def fit(train: DataFrame, coordinates: DataFrame, config: Config = Config(), clu
     clean = train.where("tong_gia > 0")
     t["heterogeneity"] = features.heterogeneity(clean)
     t["templates"] = features.heterogeneity_templates(t["heterogeneity"])
-    t = {k: v.cache() for k, v in t.items()}
-    rows = (clustered or one)(_described(train, t, True)).withColumn("assigned_cluster", F.col("cluster"))
-    t["embedding"] = inference.segment_embedding(rows, EMBEDDED[:2]).cache()
+    t = {k: staged(v, k) for k, v in t.items()}
+    rows = staged((clustered or one)(_described(train, t, True)), "located").withColumn("assigned_cluster", F.col("cluster"))
+    t["embedding"] = staged(inference.segment_embedding(rows, EMBEDDED), "embedding")
     t["location"] = inference.location_templates(t["embedding"], EMBEDDED)
     t["profiles"] = clusters.profiles(rows)
-    rows = clusters.special_assets(rows).cache()
+    rows = staged(clusters.special_assets(rows), "described")
     t["core"], t["access"] = scaling.fit_scaling(rows, scaling.CORE), scaling.fit_scaling(rows, scaling.ACCESS)
     rows = _scaled(rows, t)
+    rows = staged(rows, "scaled")
     t["candidates"] = rows.where("tong_gia > 0")
     pairs = comparables.search(rows, t["candidates"], t["embedding"], config)
     fitted = model.fit(rows.join(comparables.summary(pairs, config).drop("comparable_flags"), "row_id", "left"), model.feature_sets()["model_5"], config)

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import clusters, comparables, confidence, features, inference, scaling, segments
 from ..sources.properties import star_properties
+from ..sources.staging import staged
 
 
 class Frames:
-    """Lazy frames over one folder of star-schema tables. Tables at segment grain, a row per street, are cached."""
+    """Lazy frames over one folder of star-schema tables. Tables at segment grain, a row per street, are written once, as are the larger steps."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: Config = Config()) -> None:
         self.spark, self.sf_dir, self.config = spark, sf_dir, config
@@ -24,7 +25,7 @@ class Frames:
 
     @cached_property
     def keyed(self) -> DataFrame:
-        return segments.with_keys(self.raw)
+        return staged(segments.with_keys(self.raw), "keyed")
 
     @cached_property
     def train(self) -> DataFrame:
@@ -37,27 +38,27 @@ class Frames:
 
     @cached_property
     def master(self) -> DataFrame:
-        return segments.segment_master(self.train, segments.coordinate_dictionary(self.keyed)).cache()
+        return staged(segments.segment_master(self.train, segments.coordinate_dictionary(self.keyed)), "master")
 
     @cached_property
     def neighbors(self) -> DataFrame:
-        return segments.segment_neighbors(self.master, self.config).cache()
+        return staged(segments.segment_neighbors(self.master, self.config), "neighbors")
 
     @cached_property
     def neighbor_features(self) -> DataFrame:
-        return segments.neighbor_features(self.neighbors).cache()
+        return staged(segments.neighbor_features(self.neighbors), "neighbor_features")
 
     @cached_property
     def frequencies(self) -> DataFrame:
-        return features.frequencies(self.train).cache()
+        return staged(features.frequencies(self.train), "frequencies")
 
     @cached_property
     def heterogeneity(self) -> DataFrame:
-        return features.heterogeneity(self.clean).cache()
+        return staged(features.heterogeneity(self.clean), "heterogeneity")
 
     @cached_property
     def templates(self) -> DataFrame:
-        return features.heterogeneity_templates(self.heterogeneity).cache()
+        return staged(features.heterogeneity_templates(self.heterogeneity), "templates")
 
     def located(self, rows: DataFrame) -> DataFrame:
         return segments.attach_segments(rows, self.master, train=True)
@@ -81,33 +82,34 @@ class Frames:
     def embedding(self) -> DataFrame:
         rows = self.clustered(segments.attach_neighbors(self.located(self.train), self.neighbor_features))
         rows = rows.withColumns({"spectral_1": (F.col("row_id") % 17) / 17.0, "spectral_2": (F.col("row_id") % 5) / 5.0})
-        return inference.segment_embedding(rows, ["spectral_1", "spectral_2"]).cache()
+        return staged(inference.segment_embedding(rows, ["spectral_1", "spectral_2"]), "embedding")
 
     @cached_property
     def scaled(self) -> DataFrame:
         """All described rows with their scaled vectors, fitted on the train rows."""
-        rows = self.described(self.keyed).cache()
+        rows = staged(self.described(self.keyed), "described")
         train = rows.where("split = 'train'")
         for columns, name in ((scaling.CORE, "core"), (scaling.ACCESS, "access")):
             rows = scaling.scale(rows, scaling.fit_scaling(train, columns), columns, name)
-        return rows.cache()
+        return staged(rows, "scaled")
 
     @cached_property
     def compared(self) -> DataFrame:
         """Scored pairs of all train rows against the train rows with a value."""
         train = self.scaled.where("split = 'train'")
-        return comparables.search(train, train.where("tong_gia > 0"), self.embedding, self.config)
+        pairs = comparables.pool(train, train.where("tong_gia > 0"), comparables.radius_table(self.embedding, self.config), self.config)
+        return staged(comparables.score(comparables.cascade(pairs, self.config), self.config), "compared")
 
     @cached_property
     def summaries(self) -> DataFrame:
-        return comparables.summary(self.compared, self.config).cache()
+        return staged(comparables.summary(self.compared, self.config), "summaries")
 
     @cached_property
     def judged(self) -> DataFrame:
         """Train rows with bands, confidence and, as the prediction, the band's median."""
         rows = self.scaled.where("split = 'train'").join(self.summaries, "row_id", "left").withColumn("predicted", F.col("total_value_band_median"))
         rows = rows.withColumns({"case_type": F.lit("CASE_1_SEGMENT_IN_TRAIN"), "assigned_cluster_method": F.lit("SEGMENT_LOOKUP")})
-        return confidence.add_errors(confidence.add_confidence(rows))
+        return staged(confidence.add_errors(confidence.add_confidence(rows)), "judged")
 
     @cached_property
     def roads(self) -> DataFrame:
@@ -122,7 +124,7 @@ _known: dict[tuple[str, str, str], Frames] = {}
 
 
 def frames(spark: SparkSession, sf_dir: str, config: Config = Config()) -> Frames:
-    """The frames of a folder, shared by the queries of one application, so that cached tables are built once."""
+    """The frames of a folder, shared by the queries of one application, so that written tables are built once."""
     key = (spark.sparkContext.applicationId, sf_dir, repr(config))
     if key not in _known:
         for old in [k for k in _known if k[0] != key[0]]:

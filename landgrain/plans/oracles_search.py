@@ -55,10 +55,10 @@ CTE |= {
     "jd": (("judged",), f"SELECT *, {clip01('raw')} AS cscore, abs(tong_gia - b50) AS ae, CASE WHEN tong_gia > 0 THEN abs(tong_gia - b50) / tong_gia END AS ape, CASE WHEN tong_gia > 0 AND b50 > 0 THEN ln(b50) - ln(tong_gia) END AS le FROM judged"),
     "jg": (("jd",), "SELECT *, CASE WHEN cscore >= 0.8 THEN 'high' WHEN cscore >= 0.6 THEN 'medium_high' WHEN cscore >= 0.4 THEN 'medium' WHEN cscore IS NULL THEN 'unknown' ELSE 'low' END AS cgroup, CASE WHEN cscore > -0.001 AND cscore <= 0.4 THEN 'low' WHEN cscore <= 0.7 THEN 'medium' WHEN cscore <= 1 THEN 'high' END AS cbucket FROM jd"),
     "rin": (("master",), f"SELECT segment_key, {norm('pho')} AS street, 6378137.0::DOUBLE * radians(lon) AS px, 6378137.0::DOUBLE * ln(tan(radians(45) + radians(lat) / 2)) AS py, lat, lon, (length(segment_key) * 7) % 5 - 2 AS k FROM master WHERE lat IS NOT NULL"),
-    "rp": (("rin",), """SELECT segment_key AS road, street AS rname, 6378137.0::DOUBLE * radians(x1) AS ax, 6378137.0::DOUBLE * ln(tan(radians(45) + radians(y1) / 2)) AS ay, 6378137.0::DOUBLE * radians(x2) AS bx, 6378137.0::DOUBLE * ln(tan(radians(45) + radians(y2) / 2)) AS by FROM (
+    "rp": (("rin",), """SELECT segment_key AS road, street AS rname, 6378137.0::DOUBLE * radians(x1) AS ax, 6378137.0::DOUBLE * ln(tan(radians(45) + radians(y1) / 2)) AS ay, 6378137.0::DOUBLE * radians(x2) AS bx, 6378137.0::DOUBLE * ln(tan(radians(45) + radians(y2) / 2)) AS b_y FROM (
         SELECT segment_key, street, lon - 0.012::DOUBLE AS x1, lat - 0.003::DOUBLE * k AS y1, lon + 0.0005::DOUBLE * k AS x2, lat + 0.0001::DOUBLE AS y2 FROM rin UNION ALL SELECT segment_key, street, lon + 0.0005::DOUBLE * k, lat + 0.0001::DOUBLE, lon + 0.009::DOUBLE, lat + 0.004::DOUBLE * k FROM rin)"""),
     "rx": (("rin", "rp"), """SELECT segment_key, road, any_value(street) AS street, any_value(rname) AS rname, sum(CASE WHEN a > 0 AND disc > 0 AND least(1, (-b + sqrt(greatest(disc, 0))) / a) > greatest(0, (-b - sqrt(greatest(disc, 0))) / a) THEN (least(1, (-b + sqrt(greatest(disc, 0))) / a) - greatest(0, (-b - sqrt(greatest(disc, 0))) / a)) * sqrt(a) ELSE 0 END) AS len,
-        min(sqrt(pow(fx + greatest(0, least(1, -b / a)) * dx, 2) + pow(fy + greatest(0, least(1, -b / a)) * dy, 2))) AS near FROM (SELECT *, b * b - a * (fx * fx + fy * fy - 1000000.0::DOUBLE) AS disc FROM (SELECT *, dx * dx + dy * dy AS a, fx * dx + fy * dy AS b FROM (SELECT i.segment_key, street, road, rname, bx - ax AS dx, by - ay AS dy, ax - px AS fx, ay - py AS fy FROM rin i, rp))) GROUP BY 1, 2 HAVING len > 0"""),
+        min(sqrt(pow(fx + greatest(0, least(1, -b / a)) * dx, 2) + pow(fy + greatest(0, least(1, -b / a)) * dy, 2))) AS near FROM (SELECT *, b * b - a * (fx * fx + fy * fy - 1000000.0::DOUBLE) AS disc FROM (SELECT *, dx * dx + dy * dy AS a, fx * dx + fy * dy AS b FROM (SELECT i.segment_key, street, road, rname, bx - ax AS dx, b_y - ay AS dy, ax - px AS fx, ay - py AS fy FROM rin i, rp))) GROUP BY 1, 2 HAVING len > 0"""),
     "ev": (("rx",), """SELECT *, CASE kind WHEN 'NAME_EXACT' THEN 1.0::DOUBLE WHEN 'NAME_PARTIAL' THEN 0.85 WHEN 'POINT_ON_ROAD' THEN 0.8 WHEN 'ROAD_NEAR_NOTE' THEN 0.6 ELSE 0 END AS conf FROM (SELECT *, CASE WHEN street <> '' AND street = rname THEN 'NAME_EXACT' WHEN street <> '' AND rname <> '' AND (contains(street, rname) OR contains(rname, street)) THEN 'NAME_PARTIAL' WHEN near <= 15 THEN 'POINT_ON_ROAD' WHEN near <= 40 THEN 'ROAD_NEAR_NOTE' ELSE 'NO_MATCH' END AS kind FROM rx)"""),
     "vec": ((), "SELECT vec_id AS i, embedding::DOUBLE[] AS v, label FROM embeddings"),
     "kn": (("vec",), "SELECT i, j, d FROM (SELECT a.i AS i, b.i AS j, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.i ORDER BY list_distance(a.v, b.v), b.i) AS k FROM vec a JOIN vec b ON a.i <> b.i) WHERE k <= 10"),
@@ -91,7 +91,7 @@ ORACLE_SQL |= {
     "scaled_features": with_ctes("scaled") + "SELECT row_id, " + ", ".join([r(f"z_{c}", f"core_{i}") for i, c in enumerate(_CORE)] + [r(f"z_{c}", f"access_{i}") for i, c in enumerate(_ACCESS)]) + " FROM scaled",
     "location_features": _location(),
     "comparable_radius": with_ctes("rad") + "SELECT row_id, segment_key, used AS used_radius FROM rad",
-    "comparable_results": with_ctes("pairs") + f"""SELECT q AS input_id, c AS comparable_row_id, cseg AS comparable_segment_key, src AS comparable_source, sc AS same_cluster, f3::INT AS same_access_band, {r('dist', 'distance_m', 3)}, {r('fs', 'feature_similarity')}, {r('acs', 'access_similarity')}, {r('exp(-la)', 'area_similarity')}, {r('rel', 'candidate_reliability')}, {r('score', 'similarity_score')}, v AS comparable_total_value
+    "comparable_results": with_ctes("pairs") + f"""SELECT q AS input_id, c AS comparable_row_id, cseg AS comparable_segment_key, src AS comparable_source, sc AS same_cluster, f3::INT AS same_access_band, {r('dist', 'distance_m', 3)}, {r('fs', 'feature_similarity')}, {r('acs', 'access_similarity')}, {r('exp(-la)', 'area_similarity', 4)}, {r('rel', 'candidate_reliability')}, {r('score', 'similarity_score')}, v AS comparable_total_value
         FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, dist NULLS LAST, c) AS k FROM pairs) WHERE k <= 5""",
     "comparable_summaries": with_ctes("summ") + f"""SELECT q AS row_id, cnt AS comparable_count, used AS max_search_radius_m, {_SUMMARY_FLAGS} AS comparable_warning_flag, {r('b25', 'total_value_band_p25', 3)}, {r('b50', 'total_value_band_median', 3)}, {r('b75', 'total_value_band_p75', 3)}, {r('cc', 'comparable_confidence')}, {r('scr', 'same_cluster_ratio')}, {r('acr', 'access_band_match_ratio')},
         {r('spr', 'special_comparable_ratio')}, {r('bc', 'band_confidence')}, {r('rel', 'mean_candidate_reliability')}, {r('ssr', 'same_segment_ratio')}, {r('her', 'heterogeneous_comparable_ratio')}, {r('width', 'weighted_band_width_ratio')} FROM summ""",

@@ -144,7 +144,7 @@ def comparable_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def comparable_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = comparables.top(frames(spark, sf_dir).compared)
-    return t.select(F.col("q_row_id").alias("input_id"), F.col("c_row_id").alias("comparable_row_id"), F.col("c_segment_key").alias("comparable_segment_key"), "comparable_source", "same_cluster", "same_access_band", *_r("distance_m", digits=3), *_r("feature_similarity", "access_similarity", "area_similarity", "candidate_reliability", "similarity_score"), F.col("c_tong_gia").alias("comparable_total_value"))
+    return t.select(F.col("q_row_id").alias("input_id"), F.col("c_row_id").alias("comparable_row_id"), F.col("c_segment_key").alias("comparable_segment_key"), "comparable_source", "same_cluster", "same_access_band", *_r("distance_m", digits=3), *_r("feature_similarity", "access_similarity", "candidate_reliability", "similarity_score"), *_r("area_similarity", digits=4), F.col("c_tong_gia").alias("comparable_total_value"))
 
 
 def comparable_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
