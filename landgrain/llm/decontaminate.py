@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, materialise, slices, table, text_tag
 
-WINDOW, SPAN, GAP, STRIDE = 10, 15, 64, 5
+WINDOW, SPAN, GAP = 10, 15, 64
 SEGMENT = 16 << 20
 #: Items that one index is built for; more are answered in as many blocks as it takes.
 BLOCK_ITEMS = 20_000
@@ -50,10 +50,9 @@ class Queries:
                 continue
             for i in range(max(1, len(t) - window + 1)):
                 exact.setdefault(tuple(t[i : i + window]), set()).add(item)
-                if i % STRIDE == 0:
-                    near.setdefault(tuple(t[i : i + window]), set()).add(item)
+                near.setdefault(tuple(sorted(set(t[i : i + window]))), set()).add(item)
         self.exact = [(np.array(k, np.int64), sorted(i for i in v if i is not None)) for k, v in exact.items()]
-        self.near = [(np.array(sorted(set(k)), np.int64), sorted(i for i in v if i is not None)) for k, v in near.items()]
+        self.near = [(np.array(k, np.int64), sorted(i for i in v if i is not None)) for k, v in near.items()]
 
     def order(self, counts: np.ndarray) -> None:
         """Bring every window's terms into ascending order of their corpus counts; drop windows with a term that never occurs."""
@@ -253,15 +252,20 @@ _MERGE = """aggregate(spans, cast(array() as array<struct<a:bigint,b:bigint>>),
      array_append(slice(m, 1, size(m) - 1), named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, s.b)))))"""
 
 
-def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The counts and the digest of matches(), per row of docs."""
-    named = F.transform("items", lambda x: x.cast("string"))
+def proximity(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The counts and the digests of matches(), exact and near, per row of docs."""
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ","), 256)
     return matches(docs, benchmark).select(
         "doc_id", "tag", "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + s.b - s.a)").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(named), ","), 256).alias("items_sha256"), F.size("near").cast("long").alias("n_near_items"),
+        digest("items").alias("items_sha256"), F.size("near").cast("long").alias("n_near_items"), digest("near").alias("near_items_sha256"),
     ).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """proximity() without the digest of the near items."""
+    return proximity(docs, benchmark).drop("near_items_sha256")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without an exact match, with docs' own columns."""
     hit = materialise(scan(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct(), "contaminated")
@@ -272,6 +276,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tag", "n_near_items")
 
 
+def op8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_decontaminate, which its SQL fixes, and those of the proximity matches."""
+    return proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tag")
+
+
 #: The same by joining the ten-word windows of both sides; without the proximity matches.
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import OP8_SQL, op8_decontaminate
+from .decontaminate import OP8_SQL, op8_decontaminate, op8_proximity
 from .html_extract import op9_html_extract
 from .mixing import op10_mixing
 from .quality import op1_quality
@@ -22,6 +22,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_token_ids": op7_token_ids,
     "op8_decontaminate": op8_decontaminate,
+    "op8_proximity": op8_proximity,
     "op9_html_extract": op9_html_extract,
     "op10_mixing": op10_mixing,
 }

@@ -147,6 +147,18 @@ def test_proximity(spark):
     assert near == {1: [5], 2: []}
 
 
+def test_proximity_of_every_window(spark):
+    item = [f"w{i}" for i in range(14)]
+    spread = " ".join(item[4:9]) + " and then " + " ".join(item[9:14])  # near by the window at offset 4 alone
+    docs = spark.createDataFrame([(1, " ".join(reversed(item[4:14]))), (2, spread), (3, " ".join(item[5:14])), (4, " ".join(item))], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    near = {r["doc_id"]: list(r["near"]) for r in decontaminate.matches(docs, bench).collect()}
+    assert near == {1: [5], 2: [5], 3: [], 4: []}
+    got = {r["doc_id"]: (r["n_near_items"], r["near_items_sha256"], r["contaminated"]) for r in decontaminate.proximity(docs, bench).collect()}
+    one, none = hashlib.sha256(b"5").hexdigest(), hashlib.sha256(b"").hexdigest()
+    assert got == {1: (1, one, False), 2: (1, one, False), 3: (0, none, False), 4: (0, none, True)}
+
+
 def test_tokens_round_trip(docs, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
