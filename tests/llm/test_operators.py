@@ -291,3 +291,20 @@ def test_raking_meets_targets(docs, rows, empty):
         met = got.groupby(f"__d{i}")["w"].sum() / got["w"].sum()
         assert (abs(met[target.index] / target - 1) < 0.02).all()
     assert got["p"].between(0, 1).all() and mixing.mix(docs).columns == docs.columns and mixing.mixed(empty).count() == 0
+
+
+def test_sample_meets_targets(spark):
+    r = random.Random(11)
+    rows = [(i, " ".join(words(r, 40 if i % 50 else 400)), "de" if i % 40 == 0 else "en", "rare" if i % 20 == 0 else "usual") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = [spark.createDataFrame(t, f"__d{i} string, target double") for i, t in enumerate(([("rare", 0.5), ("usual", 0.5)], [("de", 0.3), ("en", 0.7)], [("note", 0.6), ("prose", 0.4)]))]
+    got = mixing.mixed(docs, targets).toPandas()
+    assert got["ratio"].max() * mixing.KEEP > 2  # more than single draws can give
+    for weight, most in (("expected", 1e-3), ("copies", 0.05)):
+        got["w"] = got["__n"] * got[weight]
+        assert abs(got["w"].sum() / got["__n"].sum() / mixing.KEEP - 1) < most
+        for i, t in enumerate(targets):
+            met = got.groupby(f"__d{i}")["w"].sum() / got["w"].sum()
+            assert all(abs(met[x["__d%d" % i]] / x["target"] - 1) < most for x in t.collect() if x[f"__d{i}"] in met)
+    sample = mixing.mix(docs, targets).groupBy("doc_id").count().collect()
+    assert {x["doc_id"]: x["count"] for x in sample} == {i: n for i, n in zip(got["doc_id"], got["copies"], strict=True) if n}
