@@ -16,6 +16,7 @@ from ..functions.geo import haversine_m
 from ..functions.stats import clip, clip01, weighted_quantiles
 from ..functions.text import flags
 from .clusters import distance
+from .inference import nearest_segments
 from .segments import grid_pairs
 
 
@@ -49,26 +50,36 @@ def _itself(exclude_self: bool) -> Column:
 CARRIED = ("segment_key", "phuong_norm", "quan_norm", "pho_canonical_norm", "muc_dich_su_dung_dat", "phan_loai_kho", "access_band", "dien_tich_m2", "mat_tien_m", "chieu_dai_m", "cluster", "core", "access", "segment_lat_for_model", "segment_lon_for_model", "special_asset_score", "segment_heterogeneity_flag")
 
 
-def pool(queries: DataFrame, candidates: DataFrame, reach: DataFrame, config: Config = Config(), exclude_self: bool = True) -> DataFrame:
-    """Query-candidate pairs (columns q_*, c_*) of known segments, and `used_radius`.
+def pool(queries: DataFrame, candidates: DataFrame, embedding: DataFrame, config: Config = Config(), exclude_self: bool = True) -> DataFrame:
+    """Query-candidate pairs (columns q_*, c_*), `used_radius`, `pool_source`, and for source 'near' the numbers of segments used and within the radius.
 
-    Queries of segments without train rows, and those that no segment within reach serves, take their ward's candidates,
-    else their district's, else all; a query never meets itself there either.
+    Queries of known segments draw from the segments within reach, those of new segments with a coordinate from the
+    nearest_segments() ('near'). The others, and those that no such segment serves, take their ward's candidates, else
+    their district's, else all; a query never meets itself there either.
     """
+    reach = radius_table(embedding, config)
     less = _itself(exclude_self)
     q = search_radius(queries.select("row_id", "tong_gia", *CARRIED), reach, candidates, config, exclude_self)
     for key, n in (("phuong_norm", "n_ward"), ("quan_norm", "n_district")):
         q = q.join(candidates.groupBy(key).agg(F.count(F.lit(1)).alias(n)), key, "left")
-    source = F.when(F.col("n_pool") > 0, "segment").when(F.col("n_ward") > less, "ward").when(F.col("n_district") > less, "district").otherwise("all")
-    q = q.withColumn("pool_source", source).withColumn("used_radius", F.when(F.col("pool_source") == "segment", F.col("used_radius")).otherwise(config.max_radius_m))
-    q = q.select(F.col("row_id").alias("q_row_id"), "used_radius", "pool_source", *[F.col(x).alias(f"q_{x}") for x in CARRIED])
+    place = ["segment_lat_for_model", "segment_lon_for_model"]
+    q = q.join(embedding.select("segment_key", F.lit(True).alias("known")).distinct(), "segment_key", "left")
+    rows_of = candidates.groupBy(F.col("segment_key").alias("near_key")).agg(F.count(F.lit(1)).alias("n"))
+    nearest = nearest_segments(q.where("known is null and segment_lat_for_model is not null and segment_lon_for_model is not null"), embedding, config)
+    served = nearest.join(rows_of, "near_key", "left").groupBy(*place).agg(F.sum("n").alias("n_near"), F.count(F.lit(1)).alias("near_segments"), F.first("n_inside").alias("near_inside"), F.first("used_radius_m").alias("near_radius"))
+    q = q.join(served, place, "left").withColumn("near_segments", F.when(F.col("known").isNull(), F.col("near_segments")))
+    source = F.when(F.col("n_pool") > 0, "segment").when(F.col("near_segments").isNotNull() & (F.col("n_near") > 0), "near").when(F.col("n_ward") > less, "ward").when(F.col("n_district") > less, "district").otherwise("all")
+    q = q.withColumn("pool_source", source).withColumn("used_radius", F.when(F.col("pool_source") == "segment", F.col("used_radius")).when(F.col("pool_source") == "near", F.col("near_radius")).otherwise(config.max_radius_m))
+    q = q.select(F.col("row_id").alias("q_row_id"), "used_radius", "pool_source", *[F.when(F.col("pool_source") == "near", F.col(x)).alias(x) for x in ("near_segments", "near_inside")], *[F.col(x).alias(f"q_{x}") for x in CARRIED])
     c = candidates.select(F.col("row_id").alias("c_row_id"), F.col("tong_gia").alias("c_tong_gia"), *[F.col(x).alias(f"c_{x}") for x in (*CARRIED, "pho_count_train", "cluster_confidence", "segment_heterogeneity_penalty")])
-    # one equi-join: a query names the segments, ward or district it draws from, a candidate those it belongs to
+    # one equi-join: a query names the segments (within reach or nearest), ward or district it draws from, a candidate those it belongs to
     key = lambda mark, x: F.concat(F.lit(mark), F.coalesce(x, F.lit("")))
     near = reach.select(F.col("segment_key").alias("q_segment_key"), key("s:", F.col("reach_key")).alias("key"), F.col("distance_m").alias("__d"))
     drawn = q.where("pool_source = 'segment'").join(near, "q_segment_key").where(F.col("__d") <= F.col("used_radius")).drop("__d")
     named = F.when(F.col("pool_source") == "ward", key("w:", F.col("q_phuong_norm"))).when(F.col("pool_source") == "district", key("d:", F.col("q_quan_norm"))).otherwise("*")
-    drawn = drawn.unionByName(q.where("pool_source <> 'segment'").withColumn("key", named))
+    places = nearest.select(*[F.col(x).alias(f"q_{x}") for x in place], key("s:", F.col("near_key")).alias("key"))
+    drawn = drawn.unionByName(q.where("pool_source = 'near'").join(places, [f"q_{x}" for x in place]))
+    drawn = drawn.unionByName(q.where("pool_source not in ('segment', 'near')").withColumn("key", named))
     offered = c.withColumn("key", F.explode(F.array(key("s:", F.col("c_segment_key")), key("w:", F.col("c_phuong_norm")), key("d:", F.col("c_quan_norm")), F.lit("*"))))
     pairs = drawn.join(offered, "key").drop("key")
     return pairs.where(F.col("q_row_id") != F.col("c_row_id")) if exclude_self else pairs
@@ -164,7 +175,7 @@ def summary(scored: DataFrame, config: Config = Config()) -> DataFrame:
         n.cast("int").alias("n"), F.first("used_radius").alias("max_search_radius_m"), share(F.col("same_cluster")).alias("same_cluster_ratio"), share(F.col("same_access_band")).alias("access_band_match_ratio"),
         share(F.coalesce(F.col("c_special_asset_score") >= 0.45, F.lit(False))).alias("special_comparable_ratio"), F.avg("candidate_reliability").alias("mean_candidate_reliability"), share(F.col("same_segment")).alias("same_segment_ratio"),
         share(F.coalesce(F.col("c_segment_heterogeneity_flag").isin("HETEROGENEOUS_MEDIUM", "HETEROGENEOUS_HIGH"), F.lit(False))).alias("heterogeneous_comparable_ratio"), F.avg(F.greatest("similarity_score", F.lit(0.0))).alias("strength"),
-        F.first("cascade_flags").alias("cascade_flags"), F.first("pool_source").alias("pool_source"),
+        F.first("cascade_flags").alias("cascade_flags"), F.first("pool_source").alias("pool_source"), F.first("near_segments").alias("near_segments"), F.first("near_inside").alias("near_inside"),
     )
     s = s.join(weighted_quantiles(band, ["q_row_id"], "c_tong_gia", "band_weight", {"total_value_band_p25": 0.25, "total_value_band_median": 0.5, "total_value_band_p75": 0.75}, "c_row_id"), "q_row_id", "left")
     full = F.least(F.lit(1.0), F.col("n") / config.band_top_k)
@@ -174,11 +185,12 @@ def summary(scored: DataFrame, config: Config = Config()) -> DataFrame:
         "comparable_confidence": clip01(0.45 * full + 0.35 * F.col("strength") + 0.20 * (1 - F.least(F.lit(1.0), F.col("max_search_radius_m") / config.max_radius_m))),
         "band_confidence": clip01(0.35 * full + 0.25 * F.col("mean_candidate_reliability") + 0.20 * F.col("access_band_match_ratio") + 0.10 * F.col("strength") + 0.10 * (1 - F.least(F.lit(1.0), F.coalesce("weighted_band_width_ratio", F.lit(1.0))))),
     })
-    first = flags(FALLBACK_RADIUS_USED=(F.col("pool_source") == "segment") & (F.col("max_search_radius_m") > 1000), MISSING_SEGMENT_GEO=F.col("pool_source") == "all", LOW_CONFIDENCE_PREDICTION=F.col("pool_source") != "segment")
+    far, served = F.col("near_inside") == 0, F.col("pool_source").isin("segment", "near")
+    first = flags(FAR_FROM_KNOWN_SEGMENTS=far, OUT_OF_TRAIN_AREA=far, FALLBACK_RADIUS_USED=served & (F.col("max_search_radius_m") > 1000), LOW_NEIGHBOR_COUNT=F.col("near_segments") < config.min_comparables, MISSING_SEGMENT_GEO=F.col("pool_source") == "all", LOW_CONFIDENCE_PREDICTION=~served)
     last = flags(LOW_COMPARABLE_COUNT=F.col("comparable_count") < config.min_comparables, ACCESS_MISMATCH_POOL=F.col("access_band_match_ratio") < 0.5, ACCESS_CONTEXT_WEAK=F.col("access_band_match_ratio") < 0.4, HETEROGENEOUS_COMPARABLE_POOL=F.col("heterogeneous_comparable_ratio") > 0.6, WIDE_PRICE_BAND=F.col("weighted_band_width_ratio") > 1.2)
-    return s.withColumn("comparable_flags", F.concat(first, "cascade_flags", last)).drop("cascade_flags", "n", "strength", "pool_source").withColumnRenamed("q_row_id", "row_id")
+    return s.withColumn("comparable_flags", F.concat(first, "cascade_flags", last)).drop("cascade_flags", "n", "strength", "pool_source", "near_segments", "near_inside").withColumnRenamed("q_row_id", "row_id")
 
 
 def search(queries: DataFrame, candidates: DataFrame, embedding: DataFrame, config: Config = Config(), exclude_self: bool = True) -> DataFrame:
     """Scored pairs of all queries."""
-    return score(cascade(pool(queries, candidates, radius_table(embedding, config), config, exclude_self), config), config)
+    return score(cascade(pool(queries, candidates, embedding, config, exclude_self), config), config)

@@ -97,13 +97,23 @@ class Frames:
     def compared(self) -> DataFrame:
         """Scored pairs of all train rows against the train rows with a value."""
         train = self.scaled.where("split = 'train'")
-        pairs = comparables.pool(train, train.where("tong_gia > 0"), comparables.radius_table(self.embedding, self.config), self.config)
+        pairs = comparables.pool(train, train.where("tong_gia > 0"), self.embedding, self.config)
         return staged(comparables.score(comparables.cascade(pairs, self.config), self.config), "compared")
 
     @cached_property
     def summaries(self) -> DataFrame:
         return staged(comparables.summary(self.compared, self.config), "summaries")
 
+    @cached_property
+    def compared_test(self) -> DataFrame:
+        """Scored pairs of all test rows, new segments among them, against the train rows with a value."""
+        candidates = self.scaled.where("split = 'train' and tong_gia > 0")
+        return staged(comparables.search(self.scaled.where("split = 'test'"), candidates, self.embedding, self.config, exclude_self=False), "compared_test")
+
+    @cached_property
+    def summaries_test(self) -> DataFrame:
+        return staged(comparables.summary(self.compared_test, self.config), "summaries_test")
+
     @cached_property
     def judged(self) -> DataFrame:
         """Train rows with bands, confidence and, as the prediction, the band's median."""

@@ -143,12 +143,27 @@ def comparable_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comparable_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = comparables.top(frames(spark, sf_dir).compared)
+    return _results(comparables.top(frames(spark, sf_dir).compared))
+
+
+def comparable_test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """comparable_results of the test rows, which has the rows of new segments."""
+    return _results(comparables.top(frames(spark, sf_dir).compared_test))
+
+
+def _results(t: DataFrame) -> DataFrame:
     return t.select(F.col("q_row_id").alias("input_id"), F.col("c_row_id").alias("comparable_row_id"), F.col("c_segment_key").alias("comparable_segment_key"), "comparable_source", "same_cluster", "same_access_band", *_r("distance_m", digits=3), *_r("feature_similarity", "access_similarity", "candidate_reliability", "similarity_score"), *_r("area_similarity", digits=4), F.col("c_tong_gia").alias("comparable_total_value"))
 
 
 def comparable_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = frames(spark, sf_dir).summaries
+    return _summaries(frames(spark, sf_dir).summaries)
+
+
+def comparable_test_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summaries(frames(spark, sf_dir).summaries_test)
+
+
+def _summaries(s: DataFrame) -> DataFrame:
     return s.select("row_id", "comparable_count", "max_search_radius_m", render_flags(F.col("comparable_flags")).alias("comparable_warning_flag"), *_r("total_value_band_p25", "total_value_band_median", "total_value_band_p75", digits=3), *_r("comparable_confidence", "same_cluster_ratio", "access_band_match_ratio", "special_comparable_ratio", "band_confidence", "mean_candidate_reliability", "same_segment_ratio", "heterogeneous_comparable_ratio", "weighted_band_width_ratio"))
 
 
@@ -274,7 +289,7 @@ QUERIES = {
     for f in (
         text_normalize, coordinates_parse, canonical_streets, alias_report, segment_master, segment_neighbors, neighbor_features, located_properties, segment_frequencies, engineered_features,
         segment_heterogeneity, heterogeneity_templates, property_heterogeneity, segment_bands, value_quantiles, cluster_profiles, property_clusters, cluster_diagnostics, special_assets,
-        segment_embedding, location_templates, inference_cases, scaled_features, location_features, comparable_radius, comparable_results, comparable_summaries, comparable_quality, confidence_scores, explanations,
+        segment_embedding, location_templates, inference_cases, scaled_features, location_features, comparable_radius, comparable_results, comparable_summaries, comparable_test_results, comparable_test_summaries, comparable_quality, confidence_scores, explanations,
         group_errors, overall_errors, calibration, workflow_metrics, focus_row, map_inputs, road_evidence, road_summary, knn_graph, graph_density, hybrid_graph, graph_report, cluster_assignment, spectral_clusters,
         cluster_sweep, value_model, out_of_fold,
     )

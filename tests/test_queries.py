@@ -35,3 +35,42 @@ def test_matches_sql(spark, duck, name):
 def test_neighbors_are_symmetric(spark):
     rows = {(r["segment_key"], r["neighbor_segment_key"]): r["distance_m"] for r in QUERIES["segment_neighbors"](spark, DATA).collect()}
     assert rows and all(rows[b, a] == d and d <= 2000 for (a, b), d in rows.items())
+
+
+def test_new_segments_take_near_ones(spark):
+    """Test rows of new segments with a coordinate against brute force over the train segments."""
+    from landgrain.functions.geo import haversine_m
+    from landgrain.operators import comparables
+    from landgrain.plans.frames import frames
+    from pyspark.sql import functions as F
+
+    f = frames(spark, DATA)
+    seg = f.embedding.where("segment_lat_for_model is not null").select("segment_key", F.col("segment_lat_for_model").alias("y"), F.col("segment_lon_for_model").alias("x"))
+    new = f.scaled.where("split = 'test' and has_valid_coordinate").join(f.embedding.select("segment_key"), "segment_key", "left_anti")
+    known = f.scaled.where("split = 'test'").join(f.embedding.select("segment_key"), "segment_key").limit(1)
+    first = new.limit(3).collect()
+    if not first:  # the tables have none: a known place under a new name, and one far off
+        new = known.withColumn("segment_key", F.lit("quan x|phuong y|new"))
+    far = new.limit(1).withColumns({"row_id": F.lit("far") if dict(new.dtypes)["row_id"] == "string" else F.lit(-1).cast(dict(new.dtypes)["row_id"]), "segment_lat_for_model": F.col("segment_lat_for_model") + 20})
+    queries = new.limit(3).unionByName(far)
+    queries = spark.createDataFrame(queries.collect(), queries.schema)
+    candidates = f.scaled.where("split = 'train' and tong_gia > 0")
+    dist = {}
+    for r in queries.crossJoin(seg.withColumnRenamed("segment_key", "near")).select("row_id", "near", haversine_m(F.col("segment_lat_for_model"), F.col("segment_lon_for_model"), F.col("y"), F.col("x")).alias("d")).collect():
+        dist.setdefault(r["row_id"], []).append((r["d"], r["near"]))
+    rows = {}
+    for r in candidates.select("row_id", "segment_key").collect():
+        rows.setdefault(r["segment_key"], set()).add(r["row_id"])
+    want = {}
+    for q, d in dist.items():
+        inside = next((x for x in ([k for k in d if k[0] <= r] for r in f.config.radii_m) if len(x) >= 5), [k for k in d if k[0] <= 2000])
+        want[q] = {c for _, k in (inside or sorted(d)[:5]) for c in rows.get(k, ())}
+    got = {}
+    pairs = comparables.search(queries, candidates, f.embedding, f.config, exclude_self=False)
+    for r in comparables.pool(queries, candidates, f.embedding, f.config, exclude_self=False).select("q_row_id", "c_row_id", "pool_source").collect():
+        assert r["pool_source"] == "near" or not want[r["q_row_id"]]
+        if r["pool_source"] == "near":
+            got.setdefault(r["q_row_id"], set()).add(r["c_row_id"])
+    assert got and got == {q: c for q, c in want.items() if c}
+    flags = {r["row_id"]: set(r["comparable_flags"]) for r in comparables.summary(pairs).collect()}
+    assert {"FAR_FROM_KNOWN_SEGMENTS", "OUT_OF_TRAIN_AREA", "FALLBACK_RADIUS_USED"} <= flags[far.first()["row_id"]]
