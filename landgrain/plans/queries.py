@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Config
 from ..functions.stats import weighted_quantiles
 from ..functions.text import normalize_admin, normalize_text, parse_coordinate, render_flags
 from ..operators import clusters, comparables, confidence, diagnostics, features, graph, inference, model, roads, scaling, segments
+from ..sources.staging import staged
 from .frames import Frames, frames
 
 
@@ -268,20 +268,33 @@ def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _modelled(f: Frames) -> tuple[DataFrame, DataFrame]:
-    every = f.scaled.drop("core", "access").join(f.summaries.drop("comparable_flags"), "row_id", "left")
-    return every.where("split = 'train'").cache(), every.where("split = 'test'")
+    """Train and test rows with their comparable features."""
+    rows = f.scaled.drop("core", "access")
+    train = staged(rows.where("split = 'train'").join(f.summaries.drop("comparable_flags"), "row_id", "left"), "modelled")
+    test = rows.where("split = 'test'").join(f.summaries_test.drop("comparable_flags"), "row_id", "left")
+    return train, test
 
 
 def value_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir, Config(model_iterations=5))
+    f = frames(spark, sf_dir)
     train, test = _modelled(f)
-    return model.predict(model.fit(train, model.feature_sets()["model_4"], f.config), test).select("row_id", "tong_gia", "predicted")
+    return model.predict(model.fit(train, model.feature_sets()["model_5"], f.config), test).select("row_id", "tong_gia", "predicted")
+
+
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    return model.ablation(*_modelled(f), f.config)
 
 
 def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir, Config(model_iterations=3, folds=3))
-    train, _ = _modelled(f)
-    return model.out_of_fold(train, model.feature_sets()["model_4"], config=f.config).select("row_id", "fold", "tong_gia", "predicted")
+    f = frames(spark, sf_dir)
+
+    def rebuild(train: DataFrame, rows: DataFrame, exclude_self: bool) -> DataFrame:
+        pairs = comparables.search(rows, train, f.embedding, f.config, exclude_self)
+        return staged(rows.join(comparables.summary(pairs, f.config).drop("comparable_flags"), "row_id", "left"), "folded")
+
+    train = f.scaled.where("split = 'train' and tong_gia > 0")
+    return model.out_of_fold(train, model.feature_sets()["model_5"], rebuild, f.config).select("row_id", "fold", "tong_gia", "predicted")
 
 
 QUERIES = {
@@ -291,6 +304,6 @@ QUERIES = {
         segment_heterogeneity, heterogeneity_templates, property_heterogeneity, segment_bands, value_quantiles, cluster_profiles, property_clusters, cluster_diagnostics, special_assets,
         segment_embedding, location_templates, inference_cases, scaled_features, location_features, comparable_radius, comparable_results, comparable_summaries, comparable_test_results, comparable_test_summaries, comparable_quality, confidence_scores, explanations,
         group_errors, overall_errors, calibration, workflow_metrics, focus_row, map_inputs, road_evidence, road_summary, knn_graph, graph_density, hybrid_graph, graph_report, cluster_assignment, spectral_clusters,
-        cluster_sweep, value_model, out_of_fold,
+        cluster_sweep, value_model, out_of_fold, ablation,
     )
 }

@@ -74,3 +74,29 @@ def test_new_segments_take_near_ones(spark):
     assert got and got == {q: c for q, c in want.items() if c}
     flags = {r["row_id"]: set(r["comparable_flags"]) for r in comparables.summary(pairs).collect()}
     assert {"FAR_FROM_KNOWN_SEGMENTS", "OUT_OF_TRAIN_AREA", "FALLBACK_RADIUS_USED"} <= flags[far.first()["row_id"]]
+
+
+def test_models_run_the_whole_job(spark, monkeypatch):
+    """The registered model queries use the defaults and all features; out_of_fold rebuilds those of its fold."""
+    from dataclasses import replace
+
+    from landgrain.config import Config
+    from landgrain.operators import model
+
+    seen, real = [], model.fit
+
+    def fit(train, numbers, config=Config(), seed=None):
+        assert config == Config() and set(model.COMPARABLE) <= set(train.columns) and numbers[-1] == model.COMPARABLE[-1]
+        seen.append({r["row_id"]: r["total_value_band_median"] for r in train.collect()})
+        return real(train, numbers, replace(config, model_iterations=2), seed)
+
+    monkeypatch.setattr(model, "fit", fit)
+    oof = QUERIES["out_of_fold"](spark, DATA).select("row_id", "fold").collect()
+    assert len(seen) == Config().folds == len({r["fold"] for r in oof})
+    held = {r["row_id"]: r["fold"] for r in oof}
+    assert all(set(s) == {i for i, k in held.items() if k != n} for n, s in enumerate(seen))
+    both = set(seen[0]) & set(seen[1])
+    assert any(seen[0][i] != seen[1][i] for i in both)  # each fold's own comparables
+    seen.clear()
+    got = QUERIES["value_model"](spark, DATA).count()
+    assert len(seen) == 1 and got > 0
