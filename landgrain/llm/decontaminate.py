@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, slices, table, text_tag
+from .common import as_bytes, materialise, slices, table
 
 WINDOW, SPAN, GAP = 10, 15, 64
 SEGMENT = 16 << 20
@@ -66,11 +66,11 @@ def _pack(a: np.ndarray) -> bytes:
 
 
 def _index(shared, segment: int):
-    """Segments: documents' ids, tags and word counts; terms, list lengths and gaps between positions, 4 bytes each."""
+    """Segments: documents' ids, tags, keys and word counts; terms, list lengths and gaps between positions, 4 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value.get
-        ids, tags, counts, rows, size = [], [], [], [], 0
+        ids, tags, keys, counts, rows, size = [], [], [], [], [], 0
 
         def close() -> pa.RecordBatch:
             n = np.array(counts, np.int64)
@@ -84,21 +84,22 @@ def _index(shared, segment: int):
             gaps = np.diff(p, prepend=0)
             gaps[first] = p[first]
             return pa.record_batch(
-                [pa.array([ids], pa.list_(pa.int64())), pa.array([tags], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int64())), *(pa.array([_pack(x)], pa.binary()) for x in (unique, many, gaps))],
-                names=["ids", "tags", "counts", "terms", "lengths", "gaps"],
+                [pa.array([ids], pa.list_(pa.int64())), pa.array([tags], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), *(pa.array([_pack(x)], pa.binary()) for x in (unique, many, gaps))],
+                names=["ids", "tags", "keys", "counts", "terms", "lengths", "gaps"],
             )
 
         for b in slices(batches, "text"):
-            for i, tag, text in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), as_bytes(b.column("text")), strict=True):
+            for i, tag, key, text in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("key").to_pylist(), as_bytes(b.column("text")), strict=True):
                 words = terms(text)
                 ids.append(i)
                 tags.append(tag)
+                keys.append(key)
                 counts.append(len(words))
                 rows.append(np.fromiter((number(w, -1) for w in words), np.int32, len(words)))
                 size += len(text or b"") + 64
                 if size >= segment:
                     yield close()
-                    ids, tags, counts, rows, size = [], [], [], [], 0
+                    ids, tags, keys, counts, rows, size = [], [], [], [], [], 0
         if ids:
             yield close()
 
@@ -190,20 +191,25 @@ def _match(shared, size: int):
                     spans.setdefault(d, []).append({"a": a - int(starts[d]), "b": z - int(starts[d])})
                 k = range(len(n))
                 yield pa.record_batch(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["tags"], pa.int32()), pa.array(n), pa.array([spans.get(d, []) for d in k], pa.list_(span)), pa.array([sorted(items.get(d, ())) for d in k], pa.list_(pa.int64())), pa.array([sorted(near.get(d, set()) - items.get(d, set())) for d in k], pa.list_(pa.int64()))],
-                    names=["doc_id", "tag", "n_words", "spans", "items", "near"],
+                    [pa.array(row["ids"], pa.int64()), pa.array(row["tags"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(n), pa.array([spans.get(d, []) for d in k], pa.list_(span)), pa.array([sorted(items.get(d, ())) for d in k], pa.list_(pa.int64())), pa.array([sorted(near.get(d, set()) - items.get(d, set())) for d in k], pa.list_(pa.int64()))],
+                    names=["doc_id", "tag", "key", "n_words", "spans", "items", "near"],
                 )
 
     return run
 
 
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int], segment: int = SEGMENT) -> DataFrame:
-    """The positional index of docs (doc_id, tag, text), written to the shared folder."""
+    """The positional index of docs (doc_id, tag, key, text), written to the shared folder."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    fields = "ids array<long>, tags array<int>, counts array<long>, terms binary, lengths binary, gaps binary"
+    fields = "ids array<long>, tags array<long>, keys array<long>, counts array<long>, terms binary, lengths binary, gaps binary"
     return materialise(docs.mapInArrow(_index(shared, segment), fields), "index")
 
 
+def _tag() -> Column:
+    """Tells rows apart that share a doc_id, or have none, but not a text; 64 bits, as rows without a doc_id can be many."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, tag, n_words, spans (merged, in words), items (exact), near (items by proximity only) per row of docs.
 
@@ -211,7 +217,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block:
     named. The items, read in blocks of at most `block`, are the only thing broadcast.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_tag().alias("tag"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _tag().alias("tag"), F.monotonically_increasing_id().alias("key"))
 
     def blocks() -> Iterator[list]:
         some: list = []
@@ -222,7 +228,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block:
                 some = []
         yield some
 
-    parts = []
+    parts, several = [], benchmark.count() > block
+    if several:  # written once, so that a row has one key in all blocks
+        rows = materialise(rows, "keyed")
     for items in blocks():
         if not items and parts:
             continue
@@ -235,15 +243,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block:
             counts[r["term"]] = r["n"]
         q.order(counts)
         q.vocabulary = None
-        found = index.mapInArrow(_match(spark.sparkContext.broadcast(q), size), "doc_id long, tag int, n_words long, spans array<struct<a:long,b:long>>, items array<long>, near array<long>")
+        found = index.mapInArrow(_match(spark.sparkContext.broadcast(q), size), "doc_id long, tag long, key long, n_words long, spans array<struct<a:long,b:long>>, items array<long>, near array<long>")
         parts.append(found)
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].drop("key")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
-    merged = every.groupBy("doc_id", "tag").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    return merged.withColumn("spans", F.expr(_MERGE)).withColumn("near", F.array_sort(F.array_except("near", "items")))
+    merged = every.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("tag").alias("tag"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    return merged.withColumn("spans", F.expr(_MERGE)).withColumn("near", F.array_sort(F.array_except("near", "items"))).drop("key")
 
 
 #: Sorted spans into disjoint ones
@@ -269,7 +277,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without an exact match, with docs' own columns."""
     hit = materialise(scan(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct(), "contaminated")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.hash(F.col("text").cast("string")) == F.col("__tag")), "left_anti")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (_tag() == F.col("__tag")), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

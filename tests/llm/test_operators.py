@@ -140,6 +140,22 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.clean(docs, bench).columns == docs.columns
 
 
+def test_decontamination_in_blocks_keeps_rows(spark, docs, rows):
+    from pyspark.sql import functions as F
+
+    target = decontaminate.terms(rows[-1][1].encode())
+    bench = spark.createDataFrame([(9, b" ".join(target[500:530]).decode()), (10, "one TWO"), (11, None), (12, rows[20][1])], "item_id long, text string")
+    whole, blocks = ([(r["doc_id"], r["n_words"], str(r["spans"]), r["items"], r["near"]) for r in decontaminate.matches(docs, bench, block=b).collect()] for b in (100, 2))
+    assert len(blocks) == len(rows) and sorted(map(str, blocks)) == sorted(map(str, whole))
+    # texts without a doc_id that share their 32-bit hash, one with a passage of the benchmark
+    n = spark.range(300_000)
+    bad, good = (n.select(F.concat(F.lit(x), "id").alias("text")).withColumn("h", F.hash("text")) for x in ("one two ", "other "))
+    pair = bad.join(good.withColumnRenamed("text", "clean"), "h").select("text", "clean").first()
+    two = spark.createDataFrame([(None, pair["text"]), (None, pair["clean"])], "doc_id long, text string")
+    assert sorted(r["n_words"] for r in decontaminate.matches(two, bench, block=2).collect()) == [2, 3]
+    assert [r["text"] for r in decontaminate.clean(two, bench).collect()] == [pair["clean"]]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "zz alpha yy beta gamma"), (2, "alpha " + "yy " * 40 + "beta gamma")], "doc_id long, text string")
     bench = spark.createDataFrame([(5, "beta alpha gamma")], "item_id long, text string")
