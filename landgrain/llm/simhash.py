@@ -58,12 +58,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
         fps = [fingerprint(x or b"") for x in as_bytes(b.column("text"))]
-        yield pa.record_batch([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        yield pa.record_batch([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), b.column("tag")], names=["doc_id", "fp", "tag"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed 64 bits) of every row; a null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, fp (signed 64 bits), tag of the text, of every row; a null text counts as empty."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _tag().alias("tag")).mapInArrow(_fingerprints, "doc_id long, fp long, tag long")
+
+
+def _tag() -> Column:
+    """Tells rows apart that share a doc_id but not a text."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _patterns(code: int, further: int, within: int) -> list[tuple[int, int]]:
@@ -156,21 +161,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id get a fingerprint and belong to components, but never name one (null where no other does).
     Repeated rows are vertices like others. An empty table gives no rows.
     """
+    return _grouped(docs).select("doc_id", "fp", "component_id", "n_copies")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """The columns of near_duplicates(), the text's tag, and root: the component, as components can share a smallest doc_id."""
     rows = materialise(fingerprints(docs), "fingerprints")
     named = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies")), "vertices")
     inside = materialise(named.join(clusters(named.select("fp")), "fp"), "clusters")
     least = inside.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(inside.join(least, "root").select("fp", "component_id", "n_copies"), "fp").select("doc_id", "fp", "component_id", "n_copies")
+    return rows.join(inside.join(least, "root").select("fp", "root", "component_id", "n_copies"), "fp")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of every component, with docs' own columns.
 
-    Rows that repeat a doc_id are one document and stay once; rows without a doc_id all stay.
+    Where a component has several texts of that doc_id, the one with the smallest tag stays; a doc_id that is the smallest
+    of several components stays in each. Copies in doc_id and text stay once; rows without a doc_id all stay.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    own = docs.where("doc_id is not null")
-    kept = own.join(keep, own["doc_id"] == F.col("__keep")).drop("__keep").dropDuplicates(["doc_id"])
+    keep = _grouped(docs).where("doc_id = component_id").groupBy("root", F.col("doc_id").alias("__keep")).agg(F.min("tag").alias("__text")).drop("root").distinct()
+    own = docs.where("doc_id is not null").withColumn("__tag", _tag())
+    kept = own.join(keep, (own["doc_id"] == F.col("__keep")) & (F.col("__tag") == F.col("__text"))).dropDuplicates(["__keep", "__tag"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

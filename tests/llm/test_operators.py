@@ -101,6 +101,15 @@ def test_simhash_brute_force(spark, rows):
     assert sorted(ids) == sorted(set(least.values()))
 
 
+def test_deduplicate_rows_that_share_an_id(spark):
+    r = random.Random(9)
+    a, b, c = (" ".join(words(r, 200)) for _ in range(3))
+    rows = [(7, a, "x"), (7, b, "x"), (7, b, "x"), (5, c, "x"), (7, c, "x"), (None, a, "x")]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    # 7 names two components and stays in both; its third text is a copy of 5's
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(7, a, "x"), (7, b, "x"), (5, c, "x"), (None, a, "x")]))
+
+
 def test_fingerprint_of_words():
     import xxhash
 
