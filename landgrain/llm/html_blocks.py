@@ -14,34 +14,37 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)""")
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
+#: Features that an element takes over from its ancestors, less its own: the nearest ancestors' come first
+INHERITED = 200
 
 
 class Parser:
     """Cuts pages into blocks. Ancestor features are remembered by (parent's features, tag, attributes)."""
 
     def __init__(self) -> None:
-        self.known: dict[tuple, frozenset] = {}
+        self.known: dict[tuple, tuple] = {}
         self.ends: dict[str, re.Pattern] = {}
 
-    def _features(self, above: frozenset, tag: str, attributes: str) -> frozenset:
+    def _features(self, above: tuple, tag: str, attributes: str) -> tuple:
         key = (above, tag, attributes)
         if key not in self.known:
             if len(self.known) > 20_000:
                 self.known.clear()
-            own = {f"in:{tag}"}
-            for m in _NAMES.finditer(attributes[:1000]):
-                own.update(f"as:{w}" for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w)
-            # a chain of arbitrary depth has bounded features: beyond 200, new ones are not added
-            self.known[key] = above if len(above) > 200 else above | own
+            own = {f"in:{tag}": None}
+            for m in _NAMES.finditer(attributes):
+                own |= dict.fromkeys(f"as:{w}" for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w)
+            # a chain of arbitrary depth has bounded features: beyond INHERITED, the farthest ancestors' go
+            rest = [x for x in above if x not in own]
+            self.known[key] = (*own, *rest[: max(0, INHERITED - len(own))])
         return self.known[key]
 
     def blocks(self, page: str | None) -> list[tuple[str, set[str]]]:
         """(text, features) of every leaf block with text, in page order."""
         page = page or ""
         out: list[tuple[str, set[str]]] = []
-        stack: list[tuple[str, frozenset]] = [("", frozenset())]
+        stack: list[tuple[str, tuple]] = [("", ())]
         open_tags: dict[str, int] = {}
         held: list[str] = []
         linked = at = 0
@@ -130,7 +133,7 @@ class Parser:
         return out
 
     @staticmethod
-    def describe(text: str, linked: int, element: tuple[str, frozenset]) -> set[str]:
+    def describe(text: str, linked: int, element: tuple[str, tuple]) -> set[str]:
         words = text.count(" ") + 1
         share = min(1.0, linked / max(1, len(text)))
         return set(element[1]) | {

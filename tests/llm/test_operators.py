@@ -305,6 +305,16 @@ def test_html_model(spark):
     assert html_extract.extract(pages, model).count() == 6
 
 
+def test_html_names_late_or_deep():
+    """Names behind long attributes, and those of near elements below many others, are read."""
+    late = f'<div style="{"x: y; " * 400}" class="comments"><p>text</p></div>'
+    deep = "".join(f'<div class="{"".join(chr(97 + int(d)) for d in str(1000 + i))}">' for i in range(300)) + '<div id="advert"><p>text</p></div>'
+    (_, a), (_, b) = Parser().blocks(late)[0], Parser().blocks(deep)[0]
+    assert "as:comments" in a and "as:advert" in b and "as:bcjj" in b and "as:baaa" not in b and len(b) < 220
+    broken = Parser().blocks("<p " + "class=' " * 100_000 + ">text")  # in linear time
+    assert len(broken) <= 1
+
+
 def test_raking_meets_targets(docs, rows, empty):
     got = mixing.mixed(docs).toPandas()
     assert len(got) == len(rows)
