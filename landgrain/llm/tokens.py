@@ -13,13 +13,13 @@ task never leaves half a file behind.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,102 +28,120 @@ from .common import materialise, slices, table
 
 END = 2
 BLOCK_IDS = 1 << 20
-CACHE = 500_000
+#: Pre-tokens whose ids an encoder remembers; beyond, it keeps those of the texts at hand
+CACHE = 1_000_000
+#: Text bytes that are encoded together
+TOGETHER = 12 << 20
 
 _LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1
 
-#: The pre-tokens of the byte-level tokenizer (a fixed pattern), and the printable stand-ins of bytes
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Printable stand-ins of bytes in the byte-level tokenizer's vocabulary
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _STAND_IN = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
 _SPACE = chr(_STAND_IN[0x20])
-#: Marks that are pre-tokens of their own after a letter
-_MARKS = ".,;:!?|*#%&$)"
 #: Scripts up to here are cut into pre-tokens by this module, others by the library
 _LATIN = "\u024f"
+_BEYOND = r"[^\x{00}-\x{24f}]"
+#: White space that is not one space or one line end between two words; the separator
+_UNUSUAL = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\x{00}\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Pre-tokens of a word that are not letters (a fixed pattern of the tokenizer); letters are what stands between
+_CUTS = r"('s|'t|'re|'ve|'m|'ll|'d| ?\pN+| ?[^\s\pL\pN]+|\n)"
+
+
+def _offsets(a: pa.Array) -> np.ndarray:
+    """Where the values of a list or binary array begin and end."""
+    return np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, 4 * a.offset)
+
+
+def _data(a: pa.Array) -> memoryview:
+    """The bytes of all values of a binary array, one after the other."""
+    at = _offsets(a)
+    return memoryview(a.buffers()[2] or b"")[at[0] : at[-1]]
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library, remembering the ids of chunks.
+    """Encodes texts with the tokenizers library, remembering the ids of pre-tokens.
 
-    A chunk is a word with the one space or line end before it. The tokenizer's pre-tokens never cross
-    from other characters to white space, and what it makes of the rest of a text does not depend on what stands
-    before, so a text's ids are its chunks' ids in turn. The library's model encodes the pre-tokens of new
-    chunks, many at a time. Texts with other white space than single spaces and line ends, or with a special token's string,
-    are encoded whole, as are all texts of a tokenizer of another kind.
+    A word takes the space or line end before it with it. The tokenizer's pre-tokens never cross from other characters to
+    white space, and what it makes of the rest of a text does not depend on what stands before, so a text's ids
+    are its words' ids in turn, and a word's those of its pre-tokens. Arrow numbers the different words of many texts and
+    their pre-tokens; the library's model encodes new ones. Texts with other white space, or with a special
+    token's string, are encoded whole, as are all texts of a tokenizer of another kind.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special)) if special else None
-        self.chunked = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and not self.tokenizer.pre_tokenizer.add_prefix_space
-        if self.chunked:
-            self.tokenizer.model._resize_cache(0)  # chunks are remembered here
-            self.bare = Tokenizer(self.tokenizer.model)
-            self.bare.pre_tokenizer = CharDelimiterSplit("\n")
-            self.marks = {c: self._whole(c) for c in _MARKS}
-        # ids by word: at the start of a text, after a space, after a line end
-        self.known: tuple[dict[str, bytes], ...] = ({}, {}, {})
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        pre = self.tokenizer.pre_tokenizer
+        self.chunked = self.tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space
+        self.known: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, before: int, words: set[str]) -> None:
-        known, lead = self.known[before], ("", " ", "\n")[before]
-        pieces: list[str] = []
-        cut: list[tuple[str, int]] = []  # word, its pieces
-        ending: list[tuple[str, str, str]] = []  # word, the word without its last mark, the mark
-        for w in words:
-            if w.isalpha() and (w.isascii() or max(w) <= _LATIN):
-                own = ["\n", w] if before == 2 else [lead + w]
-            elif before == 1 and w[-1] in _MARKS and (core := w[:-1]).isalpha() and (w.isascii() or max(w) <= _LATIN):
-                ending.append((w, core, w[-1]))
-                if core in known or core in words:
-                    continue
-                w, own = core, [" " + core]
-            elif max(w) <= _LATIN:
-                own = _PRETOKEN.findall(lead + w)
-            else:
-                known[w] = self._whole(lead + w)
-                continue
-            pieces += own
-            cut.append((w, len(own)))
-        if cut:
-            text = "\n".join(x.encode().decode("latin-1").translate(_STAND_IN) if not x.isascii() or "\n" in x else x.replace(" ", _SPACE) for x in pieces)
-            e = self.bare.encode(text, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(e.word_ids), np.cumsum([n for _, n in cut]))
-            at = 0
-            for (w, _), end in zip(cut, (4 * ends).tolist(), strict=True):
-                known[w] = ids[at:end]
-                at = end
-        for w, core, mark in ending:
-            known[w] = known[core] + self.marks[mark]
-
-    def _encode(self, text: str) -> bytes:
-        if not self.chunked or self.special and self.special.search(text):
-            return self._whole(text)
-        if " ".join(text.split()) != text.replace("\n", " ") or not text:
-            return self._whole(text)
-        lines = [x.split(" ") for x in text.split("\n")]
-        starts, after_space = self.known[2], self.known[1]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, and of words beyond _LATIN."""
         try:
-            out = [(self.known[0] if i == 0 else starts)[x[0]] + b"".join(map(after_space.__getitem__, x[1:])) for i, x in enumerate(lines)]
+            return list(map(self.known.__getitem__, pieces))
         except KeyError:
-            for before, words in enumerate(({lines[0][0]}, {w for x in lines for w in x[1:]}, {x[0] for x in lines[1:]})):
-                self._learn(before, words.difference(self.known[before]))
-            out = [(self.known[0] if i == 0 else starts)[x[0]] + b"".join(map(after_space.__getitem__, x[1:])) for i, x in enumerate(lines)]
-        return b"".join(out)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if sum(map(len, self.known)) > CACHE:
-            for k in self.known:
-                k.clear()
-        return [np.frombuffer(self._encode(x), "<u4") for x in texts]
+            known = self.known
+        new = [x for x in pieces if x not in known]
+        if len(known) + len(new) > CACHE:
+            known = self.known = {x: known[x] for x in pieces if x in known} | {"": b""}
+        model = self.tokenizer.model.tokenize
+        for x in new:
+            if x.isascii() and x.isprintable():
+                symbols = x.replace(" ", _SPACE)
+            elif max(x) <= _LATIN:
+                symbols = x.encode().decode("latin-1").translate(_STAND_IN)
+            else:
+                known[x] = self._whole(x)
+                continue
+            known[x] = array("I", [t.id for t in model(symbols)]).tobytes()
+        return list(map(known.__getitem__, pieces))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without unusual white space, one after the other, and how many each has."""
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        words = pc.split_pattern(marked, "\0")
+        numbered = words.flatten().dictionary_encode()
+        own = numbered.dictionary
+        cut = pc.split_pattern(pc.if_else(pc.match_substring_regex(own, _BEYOND), own, pc.replace_substring_regex(own, _CUTS, "\0\\1\0")), "\0")
+        pieces = cut.flatten().dictionary_encode()
+        # one string, cut by Python, is cheaper than a string for each value
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary), "\0")[0].as_py().split("\0")
+        ids = pa.array(self._pieces(names), pa.binary()).take(pieces.indices)
+        of_words = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(_offsets(ids)[_offsets(cut)]), ids.buffers()[2]])
+        of_texts = of_words.take(numbered.indices)
+        ends = _offsets(of_texts)[_offsets(words) - _offsets(words)[0]].astype(np.int64) // 4
+        return np.frombuffer(_data(of_texts), "<u4"), np.diff(ends)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has; null is empty."""
+        texts = pc.fill_null(texts, "")
+        if self.chunked:
+            odd = pc.match_substring_regex(texts, _UNUSUAL)
+            for s in self.special:
+                odd = pc.or_(odd, pc.match_substring(texts, s))
+        else:
+            odd = pa.array([True] * len(texts), pa.bool_())
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(whole):
+            return self._plain(texts)
+        flat, count = self._plain(texts.filter(pc.invert(odd)))
+        counts = np.zeros(len(texts), np.int64)
+        plain = np.setdiff1d(np.arange(len(texts)), whole)
+        counts[plain] = count
+        parts: list = [None] * len(texts)
+        for i, part in zip(plain.tolist(), np.split(flat, np.cumsum(count)[:-1]), strict=False):
+            parts[i] = part
+        for i, text in zip(whole.tolist(), texts.take(pa.array(whole)).to_pylist(), strict=True):
+            parts[i] = np.frombuffer(self._whole(text), "<u4")
+            counts[i] = len(parts[i])
+        return np.concatenate(parts), counts
 
 
 _encoders: dict[str, Encoder] = {}
@@ -136,25 +154,30 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    """The payload of a block."""
-    lengths = np.array([len(x) for x in ids], "<u4")
-    every = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-    counts = np.bincount(every, minlength=1)
-    distinct = np.flatnonzero(counts)
-    order = np.lexsort((distinct, -counts[distinct]))
-    rank = np.zeros(len(counts), "<u4")
-    rank[distinct[order]] = np.arange(len(order))
-    r = rank[every]
-    size = 1 + (r > 0xFF) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    control = np.zeros(-len(r) % 4 + len(r), np.int64)
-    control[: len(r)] = size - 1
-    control = (control.reshape(-1, 4) << np.arange(0, 8, 2)).sum(1).astype(np.uint8)
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """The payload of a block: its documents, how many ids each has, and all of them."""
+    if ids.max(initial=0) < 1 << 24:
+        counts = np.bincount(ids, minlength=1)
+        distinct = np.flatnonzero(counts)
+        counts, place = counts[distinct], np.cumsum(counts > 0)[ids] - 1
+    else:  # no table of all smaller ids
+        distinct, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.lexsort((distinct, -counts))
+    rank = np.zeros(len(distinct), "<u4")
+    rank[order] = np.arange(len(order))
+    r = rank[place]
+    size = (r > 0xFF).astype(np.uint8)
+    for bound in (0xFFFF, 0xFFFFFF):
+        size += r > bound
+    control = np.zeros(-len(r) % 4 + len(r), np.uint8)
+    control[: len(r)] = size
+    control = control.reshape(-1, 4)
+    control = control[:, 0] | control[:, 1] << 2 | control[:, 2] << 4 | control[:, 3] << 6
+    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= size[:, None]]
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     own = np.array([d or 0 for d in doc_ids], "<i8")
     head = np.array([len(doc_ids), len(r), len(distinct)], "<i8")
-    return b"".join(x.tobytes() for x in (head, nulls, own, lengths, distinct[order].astype("<u4"), control, data))
+    return b"".join(x.tobytes() for x in (head, nulls, own, lengths.astype("<u4"), distinct[order].astype("<u4"), control, data))
 
 
 def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -183,20 +206,29 @@ def _write(path: str | None, end: int, block: int):
             encoder = _encoder(public_tokenizers.path("byte_bpe_50k.json"))
         else:
             encoder = _encoder(path)
-        part, before, held, docs, ids = TaskContext.get().partitionId(), 0, 0, [], []
-        closing = np.array([end], "<u4")
+        part, before, held, docs, counts, ids = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([pack(docs, ids)], pa.binary())], names=["part", "before", "n_ids", "payload"])
-
-        for b in slices(batches, "text"):
-            for d, x in zip(b.column("doc_id").to_pylist(), encoder.encode([x or "" for x in b.column("text").to_pylist()]), strict=True):
-                docs.append(d)
-                ids.append(np.concatenate([x, closing]))
-                held += len(x) + 1
+            payload = pack(docs, np.concatenate(counts), np.concatenate(ids))
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())], names=["part", "before", "n_ids", "payload"])
+
+        for b in slices(batches, "text", TOGETHER, 1 << 14):
+            flat, count = encoder.encode(b.column("text"))
+            flat = np.insert(flat, np.cumsum(count), end)
+            count += 1
+            own, ends = b.column("doc_id").to_pylist(), np.cumsum(count)
+            at = 0
+            while at < len(own):  # a block ends with the document that fills it
+                taken = int(ends[at - 1]) if at else 0
+                to = min(len(own), int(np.searchsorted(ends, taken + block - held)) + 1)
+                docs += own[at:to]
+                counts.append(count[at:to])
+                ids.append(flat[taken : ends[to - 1]])
+                held += int(ends[to - 1]) - taken
+                at = to
                 if held >= block:
                     yield close()
-                    before, held, docs, ids = before + held, 0, [], []
+                    before, held, docs, counts, ids = before + held, 0, [], [], []
         if docs:
             yield close()
 
@@ -206,6 +238,8 @@ def _write(path: str | None, end: int, block: int):
 def write_tokens(docs: DataFrame, path: str | None = None, end: int = END, block: int = BLOCK_IDS) -> DataFrame:
     """Encode every text of docs and write the blocks; the table read back: part, before, n_ids, payload.
 
+    Texts are encoded whole, whatever their length; one that fills a block has it for itself. An empty table gives no blocks.
+
     path: the tokenizer's file, on every executor; None is the public byte-level one. Null texts are empty;
     rows without a doc_id come first; rows that repeat a doc_id stand side by side, in the order of their texts' hashes.
     """

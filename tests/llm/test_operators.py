@@ -202,21 +202,28 @@ def test_tokens_round_trip(docs, rows, empty):
 
 
 def test_coding_of_large_ids():
-    ids = [np.array([0, 1, 255, 256, 70_000, 2**31, 1, 1]), np.array([5]), np.zeros(0, int)]
-    docs, lengths, back = tokens.unpack(tokens.pack([3, None, 9], ids))
-    assert docs == [3, None, 9] and lengths.tolist() == [8, 1, 0] and back.tolist() == np.concatenate(ids).tolist()
+    ids = [0, 1, 255, 256, 70_000, 2**31, 1, 1, 5]
+    docs, lengths, back = tokens.unpack(tokens.pack([3, None, 9], np.array([8, 1, 0]), np.array(ids, "<u4")))
+    assert docs == [3, None, 9] and lengths.tolist() == [8, 1, 0] and back.tolist() == ids
 
 
-def test_encoder_equals_library():
+def test_encoder_equals_library(monkeypatch):
     import public_tokenizers
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, e, r = Tokenizer.from_file(path), tokens.Encoder(path), random.Random(7)
-    parts = ["a", " ", "  ", "\n", "\t", "it's", "x1", "é", "日本", "😀", "\x1c", "\x85", "<|endoftext|>", "word.", "the,", "été?", "b***", "​"]
-    for _ in range(3000):
-        x = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
-        assert e.encode([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+    monkeypatch.setattr(tokens, "CACHE", 500)  # forgets often
+    parts = ["a", " ", " ", "  ", "\n", "\t", "it's", "'s", " 'll", "x1", "é", "日本", "😀", "\x00", "\x1c", "\x85", "<|endoftext|>", "word.", "the,", "été?", "b***", "\u200b", "ǅ", "²", "ª", "Привет", "“q”", "(606)", "a\u0301"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(6000)]
+    texts += ["".join(r.choice(parts[:3] + parts[6:9] + parts[10:13]) + " w" for _ in range(9000)), "x" * 20_000, "\n".join(["long " + "line," * 3] * 5000), "", None]
+    texts += [f"a{chr(c)}b {chr(c)} {chr(c)}1" for c in range(0x250)]
+    for some in (texts[:3000], texts[3000:], [], [None], ["", ""]):
+        flat, count = e.encode(pa.array(["skipped", *some], pa.string())[1:])
+        ends = np.cumsum(count)
+        for x, a, z in zip(some, (ends - count).tolist(), ends.tolist(), strict=True):
+            assert flat[a:z].tolist() == t.encode(x or "", add_special_tokens=False).ids, repr(x)[:80]
 
 
 def test_hilbert_and_shards(spark, docs, rows, empty):
