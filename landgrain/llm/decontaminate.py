@@ -1,14 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is document-partitioned: a row of the index table is a segment of documents (about
-SEGMENT bytes of text) with, for every term, the ascending positions at which it occurs. A position
-counts the words of a segment; documents are GAP positions apart, so that no match crosses them.
-Only terms of the benchmark have postings, since no query can read others.
-
-A phrase is answered rarest term first: the postings of the window's rarest term (over the whole
-corpus), less the term's offset, are the candidate starts, and each further list, adjusted by its
-own offset, is intersected with what is left. A proximity match asks that all terms of a window lie
-within SPAN words of an occurrence of the rarest.
+SEGMENT bytes of text) with, for every term in them, the ascending positions at which it occurs. A position
+counts the words of a segment; documents are GAP positions apart, so that no match crosses them. It holds all terms,
+is written once, and answers any number of benchmarks or blocks of one.
+
+A phrase is answered segment by segment, rarest term first: the postings of the window's rarest term there, less
+the term's offset, are the candidate starts, and each further list, adjusted by its own offset, is
+intersected with what is left. A proximity match asks that all terms of a window, in any order, lie within SPAN
+consecutive words.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, materialise, slices, table
 
-WINDOW, SPAN, GAP = 10, 15, 64
-SEGMENT = 16 << 20
-#: Items that one index is built for; more are answered in as many blocks as it takes.
-BLOCK_ITEMS = 20_000
+WINDOW, SPAN, GAP = 10, 20, 64
+SEGMENT = 2 << 20
+#: Text bytes of the items that are sent to the index together: their windows are what is broadcast, under 100 MB
+BLOCK_BYTES = 2 << 20
 
 #: A-Z to a-z; other ASCII but digits and letters to a space
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -37,97 +38,88 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 class Queries:
-    """The windows of a block of items, as term numbers."""
+    """The windows of a block of items: term numbers, a row for each window, filled up with -1."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        number = self.vocabulary.setdefault
+        vocabulary: dict[bytes, int] = {}
+        number = vocabulary.setdefault
         exact: dict[tuple[int, ...], set] = {}
         near: dict[tuple[int, ...], set] = {}
         for item, text in items:
-            t = [number(w, len(self.vocabulary)) for w in terms(None if text is None else text.encode())]
+            t = [number(w, len(vocabulary)) for w in terms(None if text is None else text.encode())]
             if not t:
                 continue
             for i in range(max(1, len(t) - window + 1)):
                 exact.setdefault(tuple(t[i : i + window]), set()).add(item)
                 near.setdefault(tuple(sorted(set(t[i : i + window]))), set()).add(item)
-        self.exact = [(np.array(k, np.int64), sorted(i for i in v if i is not None)) for k, v in exact.items()]
-        self.near = [(np.array(k, np.int64), sorted(i for i in v if i is not None)) for k, v in near.items()]
+        self.vocabulary = list(vocabulary)
+        self.exact, self.near = self._rows(exact, window), self._rows(near, window)
 
-    def order(self, counts: np.ndarray) -> None:
-        """Bring every window's terms into ascending order of their corpus counts; drop windows with a term that never occurs."""
-        self.phrases = [(k[o], o, len(k), v) for k, v in self.exact if counts[k].min() > 0 for o in [np.argsort(counts[k], kind="stable")]]
-        self.sets = [(k[np.argsort(counts[k], kind="stable")], v) for k, v in self.near if counts[k].min() > 0]
-        self.exact = self.near = None
+    @staticmethod
+    def _rows(windows: dict[tuple[int, ...], set], window: int) -> tuple[np.ndarray, list[list[int]]]:
+        rows = np.full((len(windows), window), -1, np.int32)
+        for row, k in zip(rows, windows, strict=True):
+            row[: len(k)] = k
+        return rows, [sorted(i for i in v if i is not None) for v in windows.values()]
 
 
-def _pack(a: np.ndarray) -> bytes:
+def _u4(a: np.ndarray) -> bytes:
     return a.astype("<u4").tobytes()
 
 
-def _index(shared, segment: int):
-    """Segments: documents' ids, tags, keys and word counts; terms, list lengths and gaps between positions, 4 bytes each."""
+def _index(segment: int):
+    """Segments: documents' ids, tags, keys and word counts; terms; list lengths and gaps between positions, 4 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value.get
-        ids, tags, keys, counts, rows, size = [], [], [], [], [], 0
-
-        def close() -> pa.RecordBatch:
-            n = np.array(counts, np.int64)
+        for b in slices(batches, "text", segment, 1 << 14):
+            folded = pa.array([(t or b"").translate(_FOLD) for t in as_bytes(b.column("text"))], pa.large_binary()).cast(pa.large_string())
+            split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(folded))
+            words = split.flatten()
+            filled = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # an empty text is split to one empty word
+            n = np.diff(np.concatenate([[0], np.cumsum(filled)])[split.offsets.to_numpy()])
+            numbered = words.filter(pa.array(filled)).dictionary_encode()
+            term = numbered.indices.to_numpy()
             starts = np.cumsum(n + GAP) - n - GAP
-            term = np.concatenate(rows)
             position = np.arange(len(term)) + np.repeat(starts - (np.cumsum(n) - n), n)
-            hit = np.flatnonzero(term >= 0)
-            order = hit[np.argsort(term[hit], kind="stable")]
-            unique, first, many = np.unique(term[order], return_index=True, return_counts=True)
-            p = position[order]
+            many = np.bincount(term, minlength=len(numbered.dictionary))
+            p = position[np.argsort(term, kind="stable")]
+            first = (np.cumsum(many) - many)[many > 0]
             gaps = np.diff(p, prepend=0)
             gaps[first] = p[first]
-            return pa.record_batch(
-                [pa.array([ids], pa.list_(pa.int64())), pa.array([tags], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), *(pa.array([_pack(x)], pa.binary()) for x in (unique, many, gaps))],
-                names=["ids", "tags", "keys", "counts", "terms", "lengths", "gaps"],
-            )
-
-        for b in slices(batches, "text"):
-            for i, tag, key, text in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("key").to_pylist(), as_bytes(b.column("text")), strict=True):
-                words = terms(text)
-                ids.append(i)
-                tags.append(tag)
-                keys.append(key)
-                counts.append(len(words))
-                rows.append(np.fromiter((number(w, -1) for w in words), np.int32, len(words)))
-                size += len(text or b"") + 64
-                if size >= segment:
-                    yield close()
-                    ids, tags, keys, counts, rows, size = [], [], [], [], [], 0
-        if ids:
-            yield close()
+            one = lambda c: pa.array([b.column(c).to_pylist()], pa.list_(pa.int64()))
+            own = pa.ListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary.cast(pa.binary()))
+            yield pa.record_batch([one("doc_id"), one("tag"), one("key"), pa.array([n.tolist()], pa.list_(pa.int64())), own, pa.array([_u4(many)], pa.binary()), pa.array([_u4(gaps)], pa.binary())], names=["ids", "tags", "keys", "counts", "terms", "lengths", "gaps"])
 
     return run
 
 
-def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for t, n in zip(b.column("terms").to_pylist(), b.column("lengths").to_pylist(), strict=True):
-            yield pa.record_batch([pa.array(np.frombuffer(t, "<u4").astype(np.int64)), pa.array(np.frombuffer(n, "<u4").astype(np.int64))], names=["term", "n"])
-
-
 class Segment:
-    """Postings of one row of the index, decoded."""
+    """Postings of one row of the index, decoded; terms are numbered as in a vocabulary."""
 
-    def __init__(self, terms: bytes, lengths: bytes, gaps: bytes, size: int) -> None:
-        t, n, g = (np.frombuffer(x, "<u4").astype(np.int64) for x in (terms, lengths, gaps))
+    def __init__(self, terms: pa.Array, lengths: bytes, gaps: bytes, vocabulary: pa.Array) -> None:
+        n, g = (np.frombuffer(x, "<u4").astype(np.int64) for x in (lengths, gaps))
         total = np.cumsum(g)
         ends = np.cumsum(n)
         starts = ends - n
-        before = np.where(starts > 0, total[np.maximum(starts - 1, 0)], 0)
+        before = np.where(starts > 0, total[np.maximum(starts - 1, 0)], 0) if len(total) else starts
         self.positions = total - np.repeat(before, n)
-        self.start, self.end = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        self.start[t], self.end[t] = starts, ends
+        place = pc.fill_null(pc.index_in(vocabulary, value_set=terms), -1).to_numpy().astype(np.int64)
+        here = place >= 0
+        self.start, self.end = np.zeros(len(vocabulary) + 1, np.int64), np.zeros(len(vocabulary) + 1, np.int64)
+        self.start[:-1][here], self.end[:-1][here] = starts[place[here]], ends[place[here]]
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.start[term] : self.end[term]]
 
+    def rarest_first(self, windows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The windows whose terms all occur here: row, and its columns by falling rarity."""
+        many = (self.end - self.start)[windows]  # -1 is the entry beyond the vocabulary
+        filled = windows >= 0
+        alive = np.flatnonzero(((many > 0) | ~filled).all(1))
+        order = np.argsort(np.where(filled[alive], many[alive], 1 << 60), axis=1, kind="stable")
+        for w, o, k in zip(alive.tolist(), order, filled[alive].sum(1).tolist(), strict=True):
+            yield w, o[:k]
+
     def phrase(self, terms: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of a phrase whose terms come rarest first."""
         at = self.postings(terms[0]) - offsets[0]
@@ -135,116 +127,107 @@ class Segment:
             if not len(at):
                 break
             p = self.postings(t)
-            if not len(p):
-                return p
             i = np.searchsorted(p, at + o)
             at = at[p[np.minimum(i, len(p) - 1)] == at + o]
         return at
 
     def together(self, terms: np.ndarray, span: int) -> np.ndarray:
-        """Occurrences of the rarest term that have all others within span words."""
+        """Occurrences of the first term that lie with all others in `span` consecutive words."""
         at = self.postings(terms[0])
-        for t in terms[1:]:
+        for t in terms[1:]:  # all others near
             if not len(at):
-                break
+                return at
             p = self.postings(t)
-            if not len(p):
-                return p
-            i = np.searchsorted(p, at - span)
-            at = at[(i < len(p)) & (p[np.minimum(i, len(p) - 1)] <= at + span)]
-        return at
+            i = np.searchsorted(p, at - span + 1)
+            at = at[(i < len(p)) & (p[np.minimum(i, len(p) - 1)] < at + span)]
+        starts = at[:, None] - np.arange(span)
+        found = np.ones(starts.shape, bool)
+        for t in terms[1:]:  # and all in one place
+            p = self.postings(t)
+            i = np.searchsorted(p, starts)
+            found &= (i < len(p)) & (p[np.minimum(i, len(p) - 1)] < starts + span)
+        return at[found.any(1)]
 
 
-def _match(shared, size: int):
-    """Per document: words, merged spans of exact matches [a, b), items matched exactly, items near."""
+def _match(shared, every: bool):
+    """Per document: words, merged spans of exact matches [a, b), items matched exactly, items near; without `every`, only of documents with any."""
     span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
+        vocabulary = pa.array(queries.vocabulary, pa.binary())
         for b in batches:
-            for row in b.to_pylist():
-                s = Segment(row["terms"], row["lengths"], row["gaps"], size)
-                n = np.array(row["counts"], np.int64)
+            column = dict(zip(b.schema.names, b.columns, strict=True))
+            for r in range(b.num_rows):
+                s = Segment(column["terms"].slice(r, 1).flatten(), column["lengths"][r].as_py(), column["gaps"][r].as_py(), vocabulary)
+                n = np.array(column["counts"][r].as_py(), np.int64)
                 starts = np.cumsum(n + GAP) - n - GAP
-                here = (s.end - s.start).__getitem__
                 edges = np.zeros(int(n.sum()) + GAP * len(n) + 1, np.int32)
                 items: dict[int, set] = {}
                 near: dict[int, set] = {}
-                for t, o, length, whose in queries.phrases:
-                    if not here(t[0]):
-                        continue
-                    at = s.phrase(t, o)
-                    if len(at):
+
+                def name(at: np.ndarray, whose: list[int], found: dict[int, set]) -> None:
+                    for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
+                        found.setdefault(d, set()).update(whose)
+
+                windows, whose = queries.exact
+                for w, o in s.rarest_first(windows):
+                    if len(at := s.phrase(windows[w][o], o)):
                         np.add.at(edges, at, 1)
-                        np.add.at(edges, at + length, -1)
-                        for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
-                            items.setdefault(d, set()).update(whose)
-                for t, whose in queries.sets:
-                    if here(t[0]) and len(at := s.together(t, SPAN)):
-                        for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
-                            near.setdefault(d, set()).update(whose)
-                depth = np.cumsum(edges) > 0
-                flips = np.flatnonzero(np.diff(depth, prepend=False))
+                        np.add.at(edges, at + len(o), -1)
+                        name(at, whose[w], items)
+                windows, whose = queries.near
+                for w, o in s.rarest_first(windows):
+                    if len(at := s.together(windows[w][o], SPAN)):
+                        name(at, whose[w], near)
+                flips = np.flatnonzero(np.diff(np.cumsum(edges) > 0, prepend=False))
                 spans: dict[int, list] = {}
                 for a, z in zip(flips[::2].tolist(), flips[1::2].tolist(), strict=True):
                     d = int(np.searchsorted(starts, a, "right")) - 1
                     spans.setdefault(d, []).append({"a": a - int(starts[d]), "b": z - int(starts[d])})
-                k = range(len(n))
+                k = list(range(len(n))) if every else sorted({*spans, *items, *near})
+                of = lambda c: column[c].slice(r, 1).flatten().take(pa.array(k, pa.int64()))  # noqa: E731, B023
                 yield pa.record_batch(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["tags"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(n), pa.array([spans.get(d, []) for d in k], pa.list_(span)), pa.array([sorted(items.get(d, ())) for d in k], pa.list_(pa.int64())), pa.array([sorted(near.get(d, set()) - items.get(d, set())) for d in k], pa.list_(pa.int64()))],
+                    [of("ids"), of("tags"), of("keys"), of("counts"), pa.array([spans.get(d, []) for d in k], pa.list_(span)), pa.array([sorted(items.get(d, ())) for d in k], pa.list_(pa.int64())), pa.array([sorted(near.get(d, set()) - items.get(d, set())) for d in k], pa.list_(pa.int64()))],
                     names=["doc_id", "tag", "key", "n_words", "spans", "items", "near"],
                 )
 
     return run
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], segment: int = SEGMENT) -> DataFrame:
-    """The positional index of docs (doc_id, tag, key, text), written to the shared folder."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    fields = "ids array<long>, tags array<long>, keys array<long>, counts array<long>, terms binary, lengths binary, gaps binary"
-    return materialise(docs.mapInArrow(_index(shared, segment), fields), "index")
-
-
 def _tag() -> Column:
     """Tells rows apart that share a doc_id, or have none, but not a text; 64 bits, as rows without a doc_id can be many."""
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, tag, n_words, spans (merged, in words), items (exact), near (items by proximity only) per row of docs.
-
-    Null texts have no words, items without words no windows; a null item_id takes part without being
-    named. The items, read in blocks of at most `block`, are the only thing broadcast.
-    """
-    spark = docs.sparkSession
+def build_index(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """The positional index of docs (doc_id, text), written to the shared folder; a row of docs has one key in it."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _tag().alias("tag"), F.monotonically_increasing_id().alias("key"))
-
-    def blocks() -> Iterator[list]:
-        some: list = []
-        for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-            some.append((r[0], r[1]))
-            if len(some) == block:
-                yield some
-                some = []
+    fields = "ids array<long>, tags array<long>, keys array<long>, counts array<long>, terms array<binary>, lengths binary, gaps binary"
+    return materialise(rows.mapInArrow(_index(segment), fields), "index")
+
+
+def _blocks(benchmark: DataFrame, size: int) -> Iterator[list]:
+    """The items in runs of about `size` text bytes; an item beyond that is a run of its own; at least one run."""
+    some, held, any_ = [], 0, False
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
+        n = len((r[1] or "").encode())
+        if some and held + n > size:
+            yield some
+            some, held, any_ = [], 0, True
+        some.append((r[0], r[1]))
+        held += n
+    if some or not any_:
         yield some
 
-    parts, several = [], benchmark.count() > block
-    if several:  # written once, so that a row has one key in all blocks
-        rows = materialise(rows, "keyed")
-    for items in blocks():
-        if not items and parts:
-            continue
-        q = Queries(items, window)
-        index = build_index(rows, q.vocabulary)
-        size = max(1, len(q.vocabulary))
-        counts = np.zeros(size, np.int64)
-        totals = index.select("terms", "lengths").mapInArrow(_corpus_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        for r in totals.toLocalIterator():  # one row for a term of the block at most
-            counts[r["term"]] = r["n"]
-        q.order(counts)
-        q.vocabulary = None
-        found = index.mapInArrow(_match(spark.sparkContext.broadcast(q), size), "doc_id long, tag long, key long, n_words long, spans array<struct<a:long,b:long>>, items array<long>, near array<long>")
-        parts.append(found)
+
+def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, tag, n_words, spans (merged, in words), items (exact), near (items by proximity only) per row of the indexed table."""
+    spark = index.sparkSession
+    parts = []
+    for items in _blocks(benchmark, block):
+        shared = spark.sparkContext.broadcast(Queries(items, window))
+        parts.append(index.mapInArrow(_match(shared, not parts), "doc_id long, tag long, key long, n_words long, spans array<struct<a:long,b:long>>, items array<long>, near array<long>"))
     if len(parts) == 1:
         return parts[0].drop("key")
     every = parts[0]
@@ -254,6 +237,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block:
     return merged.withColumn("spans", F.expr(_MERGE)).withColumn("near", F.array_sort(F.array_except("near", "items"))).drop("key")
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_BYTES) -> DataFrame:
+    """search() in an index of docs.
+
+    Null and empty texts have no words, items without words no windows; a null item_id takes part without being
+    named. Repeated rows of docs each have their row, repeated items are found alike. An empty table of documents gives no
+    rows, an empty benchmark no matches. A text of any length is one segment. Other columns of docs are not read.
+    """
+    return search(build_index(docs), benchmark, window, block)
+
+
 #: Sorted spans into disjoint ones
 _MERGE = """aggregate(spans, cast(array() as array<struct<a:bigint,b:bigint>>), (m, s) ->
   if(size(m) = 0 or s.a > element_at(m, -1).b, array_append(m, s),

@@ -127,7 +127,7 @@ def test_decontamination(spark, docs, rows, empty):
         w = decontaminate.terms((t or "").encode())
         for i in range(max(1, len(w) - 9) if w else 0):
             windows.setdefault(tuple(w[i : i + 10]), set()).add(item)
-    want = set()
+    want = []
     for x in rows:
         w = decontaminate.terms((x[1] or "").encode())
         hit, own = set(), set()
@@ -137,13 +137,9 @@ def test_decontamination(spark, docs, rows, empty):
                     hit.update(range(s, s + len(k)))
                     own |= who
         own = sorted(str(i) for i in own - {None})
-        want.add((x[0], len(w), len(hit), len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), bool(hit)))
-    for block in (decontaminate.BLOCK_ITEMS, 2):
-        decontaminate_block = decontaminate.BLOCK_ITEMS
-        decontaminate.matches.__defaults__ = (decontaminate.WINDOW, block)
-        got = decontaminate.scan(docs, bench).drop("tag", "n_near_items").collect()
-        assert {tuple(g) for g in got} == want
-        decontaminate.matches.__defaults__ = (decontaminate.WINDOW, decontaminate_block)
+        want.append((x[0], len(w), len(hit), len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), bool(hit)))
+    got = decontaminate.scan(docs, bench).drop("tag", "n_near_items").collect()
+    assert len(got) == len(rows) and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert decontaminate.scan(empty, bench).count() == 0
     assert decontaminate.scan(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.clean(docs, bench).columns == docs.columns
@@ -154,14 +150,14 @@ def test_decontamination_in_blocks_keeps_rows(spark, docs, rows):
 
     target = decontaminate.terms(rows[-1][1].encode())
     bench = spark.createDataFrame([(9, b" ".join(target[500:530]).decode()), (10, "one TWO"), (11, None), (12, rows[20][1])], "item_id long, text string")
-    whole, blocks = ([(r["doc_id"], r["n_words"], str(r["spans"]), r["items"], r["near"]) for r in decontaminate.matches(docs, bench, block=b).collect()] for b in (100, 2))
+    whole, blocks = ([(r["doc_id"], r["n_words"], str(r["spans"]), r["items"], r["near"]) for r in decontaminate.matches(docs, bench, block=b).collect()] for b in (1 << 20, 20))
     assert len(blocks) == len(rows) and sorted(map(str, blocks)) == sorted(map(str, whole))
     # texts without a doc_id that share their 32-bit hash, one with a passage of the benchmark
     n = spark.range(300_000)
     bad, good = (n.select(F.concat(F.lit(x), "id").alias("text")).withColumn("h", F.hash("text")) for x in ("one two ", "other "))
     pair = bad.join(good.withColumnRenamed("text", "clean"), "h").select("text", "clean").first()
     two = spark.createDataFrame([(None, pair["text"]), (None, pair["clean"])], "doc_id long, text string")
-    assert sorted(r["n_words"] for r in decontaminate.matches(two, bench, block=2).collect()) == [2, 3]
+    assert sorted(r["n_words"] for r in decontaminate.matches(two, bench, block=20).collect()) == [2, 3]
     assert [r["text"] for r in decontaminate.clean(two, bench).collect()] == [pair["clean"]]
 
 
@@ -172,6 +168,29 @@ def test_proximity(spark):
     assert near == {1: [5], 2: []}
 
 
+def test_proximity_brute_force(spark):
+    r = random.Random(4)
+    texts = [" ".join(f"w{min(int(r.expovariate(0.25)), 30)}" for _ in range(r.randint(0, 120))) for _ in range(60)]
+    items = [(i, " ".join(f"w{min(int(r.expovariate(0.25)), 30)}" for _ in range(r.randint(0, 14)))) for i in range(25)]
+    want = {}
+    for d, t in enumerate(texts):
+        w, near, exact = t.split(), set(), set()
+        for i, x in items:
+            x = x.split()
+            for s in range(max(1, len(x) - 9) if x else 0):
+                k = x[s : s + 10]
+                if any(set(k) <= set(w[a : a + decontaminate.SPAN]) for a in range(len(w))):
+                    near.add(i)
+                if any(w[a : a + len(k)] == k for a in range(len(w))):
+                    exact.add(i)
+        want[d] = (sorted(exact), sorted(near - exact))
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sum(len(v[1]) for v in want.values()) > 50
+    for segment, block in ((decontaminate.SEGMENT, decontaminate.BLOCK_BYTES), (500, 100)):
+        got = decontaminate.search(decontaminate.build_index(docs, segment), bench, block=block).collect()
+        assert {g["doc_id"]: (g["items"], g["near"]) for g in got} == want
+
+
 def test_proximity_of_every_window(spark):
     item = [f"w{i}" for i in range(14)]
     spread = " ".join(item[4:9]) + " and then " + " ".join(item[9:14])  # near by the window at offset 4 alone
