@@ -6,68 +6,76 @@ import html as entities
 import re
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas select".split())
+#: Their content is no text of an article: code, inert or replaced markup, form fields
+RAW = frozenset("script style title textarea template iframe select datalist".split())
 #: They stand inside a block
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math mi mn mo ms mtext mrow msup msub mfrac msqrt svg g text tspan".split())
+#: Elements that name a part of the page; so does any with a class, an id or a role
+SECTIONS = frozenset("article main nav header footer aside form section".split())
 #: Opening one of these closes an open element of the set, up to the nearest holder
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "p": ({"p"}, {"td", "th", "caption", "button", "object"})}
 
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
-#: Features that an element takes over from its ancestors, less its own: the nearest ancestors' come first
-INHERITED = 200
 
 
 class Parser:
-    """Cuts pages into blocks. Ancestor features are remembered by (parent's features, tag, attributes)."""
+    """Cuts pages into blocks.
 
-    def __init__(self) -> None:
-        self.known: dict[tuple, tuple] = {}
+    An element has the features of all its ancestors, but of the nearest that names a part of the page ("near:"). With a `vocabulary`, the features that a model has weights
+    for, others are left out, as their weight is 0: the features of a chain of elements are then bounded by the model and not
+    by the page. Ancestor features are remembered by (parent's features, tag, attributes).
+    """
+
+    def __init__(self, vocabulary: frozenset[str] | None = None) -> None:
+        self.vocabulary = vocabulary
+        self.known: dict[tuple, frozenset] = {}
         self.ends: dict[str, re.Pattern] = {}
 
-    def _features(self, above: tuple, tag: str, attributes: str) -> tuple:
+    def _features(self, above: frozenset, tag: str, attributes: str) -> frozenset:
         key = (above, tag, attributes)
         if key not in self.known:
             if len(self.known) > 20_000:
                 self.known.clear()
-            own = {f"in:{tag}": None}
+            own = {f"in:{tag}"}
             for m in _NAMES.finditer(attributes):
-                own |= dict.fromkeys(f"as:{w}" for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w)
-            # a chain of arbitrary depth has bounded features: beyond INHERITED, the farthest ancestors' go
-            rest = [x for x in above if x not in own]
-            self.known[key] = (*own, *rest[: max(0, INHERITED - len(own))])
+                own.update(f"as:{w}" for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w)
+            if len(own) > 1 or tag in SECTIONS:
+                above = frozenset(x for x in above if not x.startswith("near:"))
+                own.add(f"near:{tag}")
+            if self.vocabulary is not None:
+                own &= self.vocabulary
+            self.known[key] = above if own <= above else above | own
         return self.known[key]
 
     def blocks(self, page: str | None) -> list[tuple[str, set[str]]]:
         """(text, features) of every leaf block with text, in page order."""
         page = page or ""
         out: list[tuple[str, set[str]]] = []
-        stack: list[tuple[str, tuple]] = [("", ())]
-        open_tags: dict[str, int] = {}
+        stack: list[tuple[str, frozenset]] = [("", frozenset())]
+        where: dict[str, list[int]] = {}  # places of a tag's open elements in the stack
+        blocks_at: list[int] = [0]  # places of the elements that hold blocks
         held: list[str] = []
         linked = at = 0
-        in_link = 0
 
         def close() -> None:
             nonlocal linked
             if held:
                 text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
                 if text:
-                    i = len(stack) - 1
-                    while i > 0 and stack[i][0] in INLINE:
-                        i -= 1
-                    out.append((text, self.describe(text, linked, stack[i])))
+                    out.append((text, self.describe(text, linked, stack[blocks_at[-1]])))
                 held.clear()
             linked = 0
 
-        def pop() -> None:
-            nonlocal in_link
-            name, _ = stack.pop()
-            open_tags[name] -= 1
-            in_link -= name == "a"
+        def cut(i: int) -> None:
+            """Close the open elements from place i on."""
+            while len(stack) > i:
+                where[stack.pop()[0]].pop()
+            while blocks_at[-1] >= i:
+                blocks_at.pop()
 
+        last = lambda tags: max((where[t][-1] for t in tags if where.get(t)), default=0)
         n = len(page)
         while at < n:
             lt = page.find("<", at)
@@ -75,7 +83,7 @@ class Parser:
                 lt = n
             if lt > at:
                 held.append(page[at:lt])
-                linked += (lt - at) * (in_link > 0)
+                linked += (lt - at) * bool(where.get("a"))
             if lt == n:
                 break
             if page.startswith("<!--", lt):
@@ -101,10 +109,8 @@ class Parser:
             if nxt == "/":
                 if tag in VOID:
                     continue
-                if open_tags.get(tag):
-                    while stack[-1][0] != tag:
-                        pop()
-                    pop()
+                if where.get(tag):
+                    cut(where[tag][-1])
                 continue
             if tag in RAW and not attributes.endswith("/"):
                 if tag not in self.ends:
@@ -114,32 +120,24 @@ class Parser:
                 continue
             if tag in VOID or attributes.endswith("/") and tag in INLINE:
                 continue
-            if tag not in INLINE and open_tags.get("p"):
-                while stack[-1][0] != "p":
-                    pop()
-                pop()
-            if tag in CLOSES:
-                closed, holders = CLOSES[tag]
-                i = len(stack) - 1
-                while i > 0 and stack[i][0] not in closed and stack[i][0] not in holders and len(stack) - i < 40:
-                    i -= 1
-                if stack[i][0] in closed:
-                    while len(stack) > i:
-                        pop()
+            for kind in ((tag,) if tag == "p" or tag in INLINE else ("p", tag)):  # any block closes an open paragraph
+                if kind in CLOSES and (i := last(CLOSES[kind][0])) > last(CLOSES[kind][1]):
+                    cut(i)
             stack.append((tag, self._features(stack[-1][1], tag, attributes)))
-            open_tags[tag] = open_tags.get(tag, 0) + 1
-            in_link += tag == "a"
+            where.setdefault(tag, []).append(len(stack) - 1)
+            if tag not in INLINE:
+                blocks_at.append(len(stack) - 1)
         close()
         return out
 
     @staticmethod
-    def describe(text: str, linked: int, element: tuple[str, tuple]) -> set[str]:
+    def describe(text: str, linked: int, element: tuple[str, frozenset]) -> set[str]:
         words = text.count(" ") + 1
         share = min(1.0, linked / max(1, len(text)))
-        return set(element[1]) | {
+        return element[1] | {
             f"leaf:{element[0]}",
             f"words:{min(8, words.bit_length())}",
             f"link:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}",
             f"stop:{text[-1] in '.!?…:;\"”»'}",
             f"long,link:{words > 12},{share > 0.3}",
-        } | ({"copyright"} if "©" in text or "(c)" in text[:20].lower() else set())
+        } | ({"copyright"} if "©" in text or "(c)" in text.lower() else set())

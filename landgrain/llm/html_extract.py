@@ -20,7 +20,7 @@ from .html_blocks import Parser
 from .html_training import labelled_pages
 
 #: Training pages and passes over them: parameters of the model, whatever the input
-TRAIN_PAGES, EPOCHS, RATE, DECAY = 800, 8, 0.3, 1e-4
+TRAIN_PAGES, EPOCHS, RATE, DECAY = 1000, 10, 0.3, 3e-3
 
 
 def _lse(a: float, b: float) -> float:
@@ -28,12 +28,14 @@ def _lse(a: float, b: float) -> float:
 
 
 class Crf:
-    """weights: of features, for main text; moves[i][j]: of going from state i to j; first[j]: of the first block."""
+    """weights: of features, for main text; moves[i][j]: of going from state i to j.
+
+    A page's first block has no weight of its own: it is main text as readily as any other.
+    """
 
     def __init__(self) -> None:
         self.weights: dict[str, float] = {}
         self.moves = [[0.0, 0.0], [0.0, 0.0]]
-        self.first = [0.0, 0.0]
 
     def scores(self, blocks: list[set[str]]) -> list[float]:
         get = self.weights.get
@@ -45,7 +47,7 @@ class Crf:
             return []
         m, back = self.moves, []
         s = self.scores(blocks)
-        a, b = self.first[0], self.first[1] + s[0]
+        a, b = 0.0, s[0]
         for x in s[1:]:
             to0, to1 = (a + m[0][0], b + m[1][0]), (a + m[0][1], b + m[1][1])
             back.append((to0[1] > to0[0], to1[1] > to1[0]))
@@ -61,7 +63,7 @@ class Crf:
         """P(main text) of each block and the joint probabilities of each pair of neighbours."""
         s, m = self.scores(blocks), self.moves
         n = len(s)
-        alpha = [(self.first[0], self.first[1] + s[0])]
+        alpha = [(0.0, s[0])]
         for x in s[1:]:
             a, b = alpha[-1]
             alpha.append((_lse(a + m[0][0], b + m[1][0]), _lse(a + m[0][1], b + m[1][1]) + x))
@@ -96,7 +98,6 @@ class Crf:
                             gradient[f] = gradient.get(f, 0.0) + y - p
                 for f, g in gradient.items():
                     self.weights[f] = step(f, g, self.weights.get(f, 0.0))
-                self.first = [step(("first", j), (states[0] == j) - (one[0] if j else 1 - one[0]), self.first[j]) for j in (0, 1)]
                 for p in (0, 1):
                     for q in (0, 1):
                         g = sum((states[i] == p and states[i + 1] == q) - pairs[i][p][q] for i in range(len(pairs)))
@@ -121,7 +122,8 @@ def main_text(page: str | None, model: Crf, parser: Parser) -> str:
 
 def _extract(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, parser = shared.value, Parser()
+        model = shared.value
+        parser = Parser(frozenset(model.weights))
         for b in slices(batches, "html"):
             texts = [main_text(x, model, parser) for x in b.column("html").to_pylist()]
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -132,8 +134,9 @@ def _extract(shared):
 def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
-    A null or empty page gives the empty text; repeated rows give repeated results. The model (some
-    hundred weights) is the only thing broadcast.
+    A null or empty page gives the empty text; repeated rows give repeated results; an empty table gives no rows; columns
+    beyond these three are not read. Pages of any length and depth are read whole. The model (some hundred weights) is the only
+    thing broadcast.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

@@ -21,6 +21,8 @@ PARTS = {
     "share": ["share", "social", "sharing", "share-buttons", "follow", "byline-tools", "print", "toolbar", "actions", "rating"],
 }
 BODY = ["article", "content", "post", "entry", "entry-content", "article-body", "story", "story-body", "main", "main-content", "post-content", "text", "body", "page-content", "blog-post", "single"]
+#: Marks before the blocks of a page, private characters
+MAIN, OTHER = "\ue000", "\ue001"
 _SYLLABLES = "ba ko mi ren tal vo shi der un gel par que lo ion as ti mer zu far nel ol und sa pre wick dor ham est in og".split()
 
 
@@ -41,9 +43,10 @@ class Layout:
 
     def mark(self, text: str, main: bool) -> str:
         """The text between marks that labels() finds again."""
-        return f"{'+' if main else '-'}{text}"
+        return f"{MAIN if main else OTHER}{text}"
 
-    def part(self, kind: str) -> str:
+    def part(self, kind: str, bare: float = 0.0) -> str:
+        """A part that is no main text; with probability `bare`, nothing but its place and its text tells that."""
         r = self.r
         semantic = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}
         name = r.choice(PARTS[kind])
@@ -51,6 +54,8 @@ class Layout:
             tag, attribute = semantic[kind], f' class="{name}"' if kind == "comments" or r.random() < 0.5 else ""
         else:
             tag, attribute = r.choice(["div", "div", "section", "aside" if kind in ("ad", "aside", "notice", "share") else "div"]), r.choice([f' class="{name}"', f' id="{name}"', f' class="{r.choice(["block", "row", "box", "col"])} {name}"'])
+        if r.random() < bare:
+            tag, attribute = "div", ""
         m = lambda t: self.mark(t, False)
         if kind in ("nav", "share"):
             inner = "<ul>" + "".join(f"<li>{m(self.link(self.words(1, 3, False)))}</li>" for _ in range(r.randint(2, 8))) + "</ul>" if r.random() < 0.7 else m(" ".join(self.link(self.words(1, 2, False)) for _ in range(r.randint(2, 6))))
@@ -69,6 +74,8 @@ class Layout:
             inner = (f"<h{(k := r.randint(2, 4))}>{m(self.words(1, 3, False))}</h{k}>" if r.random() < 0.6 else "") + "".join(one() for _ in range(r.randint(1, 5)))
         else:
             inner = r.choice(["{}", "<p>{}</p>", "<div>{}</div>", "<span>{}</span>", "<p>{}</p>"]).format(m(self.words(3, 35)))
+            if kind == "notice" and r.random() < 0.25:
+                return f"<noscript>{inner}</noscript>"
             if r.random() < 0.3:
                 inner += m(self.link(self.words(1, 3, False)))
         return f"<{tag}{attribute}>{inner}</{tag}>"
@@ -77,23 +84,27 @@ class Layout:
         r = self.r
         m = lambda t: self.mark(t, True)
         out = [f"<h1>{m(self.words(2, 12, False))}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.randint(1, 12)):
+        for _ in range(r.choice([1, 1, 2, r.randint(1, 12), r.randint(1, 12)])):
             kind = r.random()
-            if kind < 0.72:
+            if kind < 0.04:
+                out.append(m(self.words(2, 60)))
+            elif kind < 0.70:
                 text = self.words(1, 120)
                 if r.random() < 0.2:
                     text = self.link(self.words(1, 4, False)) + " " + text
                 out.append(f"<p>{m(text)}" + ("</p>" if r.random() < 0.8 else ""))
-            elif kind < 0.82:
+            elif kind < 0.80:
                 out.append(f"<h{(k := r.randint(2, 4))}>{m(self.words(1, 8, False))}</h{k}>")
-            elif kind < 0.88:
+            elif kind < 0.86:
                 out.append("<ul>" + "".join(f"<li>{m(self.words(1, 25))}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
-            elif kind < 0.92:
+            elif kind < 0.89:
                 out.append(f"<blockquote>{m(self.words(4, 40))}</blockquote>")
-            elif kind < 0.95:
+            elif kind < 0.91:
                 out.append(f"<pre>{m(self.words(4, 20))}</pre>")
-            elif kind < 0.97:
+            elif kind < 0.93:
                 out.append("<table><tr>" + "".join(f"<td>{m(self.words(1, 4, False))}</td>" for _ in range(3)) + "</tr></table>")
+            elif kind < 0.98:
+                out.append(r.choice(["<noscript>{}</noscript>", "<object><p>{}</p></object>", "<figure><figcaption>{}</figcaption></figure>", "<math><mi>{}</mi></math>", "<details><summary>{}</summary></details>", "<dl><dt>{}</dt></dl>"]).format(m(self.words(4, 30))))
             else:
                 out.append(f"<div>{m(self.words(4, 60))}</div>")
             if r.random() < 0.08:
@@ -102,12 +113,21 @@ class Layout:
 
     def page(self) -> str:
         r = self.r
-        before = [self.part(k) for k in ("header", "nav", "notice", "ad", "nav", "form") if r.random() < 0.5]
-        after = [self.part(k) for k in ("share", "comments", "aside", "ad", "form", "notice", "footer", "footer") if r.random() < 0.5]
+        tag = r.choice(["article", "article", "article", "main", "main", "div", "div", "div", "section"])
+        attribute = f' class="{r.choice(BODY)}"' if tag in ("div", "section") or r.random() < 0.4 else ""
+        alone = r.random() < 0.2  # the article is in no element of its own
+        bare = 0.0 if alone else 0.1
+        before = [self.part(k, bare) for k in ("header", "nav", "notice", "ad", "nav", "form") if r.random() < 0.5]
+        after = [self.part(k, bare) for k in ("share", "comments", "aside", "ad", "form", "notice", "footer", "footer") if r.random() < 0.5]
+        # an article may come first or last, or be all of a page
+        if r.random() < 0.25:
+            before = []
+        if r.random() < 0.15:
+            after = []
         inside_after = [self.part(k) for k in ("share", "comments", "aside", "ad", "form") if r.random() < 0.2]
-        tag = r.choice(["article", "article", "article", "main", "div", "section"])
-        attribute = f' class="{r.choice(BODY)}"' if tag in ("div", "section") or r.random() < 0.5 else ""
         text = f"<{tag}{attribute}>{self.body()}{''.join(inside_after)}</{tag}>"
+        if alone:
+            text = f"{self.body()}{''.join(inside_after)}"
         if r.random() < 0.4:
             text = f'<{(w := r.choice(["main", "div"]))}{r.choice(["", f""" id="{r.choice(BODY)}" """, """ class="wrapper" """])}>{text}</{w}>'
         if r.random() < 0.15:
@@ -124,7 +144,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, list[tuple[str, bo
     out, parser = [], Parser()
     for i in range(n):
         marked = Layout(random.Random(f"{seed}-{i}")).page()
-        plain = marked.replace("+", "").replace("-", "")
+        plain = marked.replace(MAIN, "").replace(OTHER, "")
         blocks = parser.blocks(marked)
-        out.append((plain, [(t.replace("-", "").replace("+", ""), t.startswith("+")) for t, _ in blocks]))
+        out.append((plain, [(t.replace(MAIN, "").replace(OTHER, ""), t.startswith(MAIN)) for t, _ in blocks]))
     return out
