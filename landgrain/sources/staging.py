@@ -5,18 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet and read back: plans built on it stay short, and lost executors repeat nothing of it.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder.
 
-    The folder is the session's checkpoint folder; one of our own is set only where there is none.
+    Where none is set, local mode gets a temporary one; on a cluster that would be the driver's own disk, so it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="landgrain-"))
-    path = f"{sc.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="landgrain-"))
+    return sc.getCheckpointDir()
+
+
+def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+    """df written to the shared folder as Parquet and read back: lineage ends there.
+
+    A lost executor costs nothing that was written, and every later read sees the same rows.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
