@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,32 +9,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged as materialise  # noqa: F401
+
 #: Words are runs of anything but ASCII white space; bytes.split() cuts exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
-
-    A folder of our own is set only where the session has none (tests, local mode).
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="landgrain-"))
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: lineage ends there.
-
-    A lost executor costs nothing that was written, and every later read sees the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,5 +42,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20,
 
 
 def text_tag() -> Column:
-    """Tells rows apart that share a doc_id but not a text."""
-    return F.hash("text")
+    """Tells rows apart that share a doc_id, or have none, but not a text; 64 bits, as such rows can be many."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs' columns as one struct, `row`, and further columns: own names then clash with none of theirs.
+
+    select("row.*") gives the columns back.
+    """
+    return docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in more.items()])

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, slices, table
+from .common import as_bytes, boxed, materialise, slices, table, text_tag
 
 WINDOW, SPAN, GAP = 10, 20, 64
 SEGMENT = 2 << 20
@@ -195,14 +195,9 @@ def _match(shared, every: bool):
     return run
 
 
-def _tag() -> Column:
-    """Tells rows apart that share a doc_id, or have none, but not a text; 64 bits, as rows without a doc_id can be many."""
-    return F.xxhash64(F.col("text").cast("string"))
-
-
 def build_index(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """The positional index of docs (doc_id, text), written to the shared folder; a row of docs has one key in it."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _tag().alias("tag"), F.monotonically_increasing_id().alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_tag().alias("tag"), F.monotonically_increasing_id().alias("key"))
     fields = "ids array<long>, tags array<long>, keys array<long>, counts array<long>, terms array<binary>, lengths binary, gaps binary"
     return materialise(rows.mapInArrow(_index(segment), fields), "index")
 
@@ -268,9 +263,10 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without an exact match, with docs' own columns."""
-    hit = materialise(scan(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct(), "contaminated")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (_tag() == F.col("__tag")), "left_anti")
+    """The rows of docs without an exact match, with docs' own columns; repeated rows stay or go together."""
+    hit = materialise(scan(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct(), "contaminated")
+    own = boxed(docs, doc_id=F.col("doc_id").cast("long"), tag=text_tag())
+    return own.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tag") == F.col("hit_tag")), "left_anti").select("row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

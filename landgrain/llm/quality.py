@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, table
+from .common import as_bytes, boxed, slices, table
 
 #: Documents that train the scorer (expected; drawn by a hash of doc_id and text), hashed features, passes
 SAMPLE, BUCKETS, EPOCHS, KEEP = 6_000, 1 << 14, 6, 0.5
@@ -247,8 +247,9 @@ def _score(shared):
 def _filter(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = Words(), shared.value
-        for b in slices(batches, "__text"):
-            yield b.filter(pa.array([judge(words, model, x)[1] >= KEEP for x in as_bytes(b.column("__text"))])).drop_columns(["__text"])
+        for b in slices(batches, "text"):
+            keep = pa.array([judge(words, model, x)[1] >= KEEP for x in as_bytes(b.column("text"))], pa.bool_())
+            yield b.filter(keep).select(["row"])
 
     return run
 
@@ -263,7 +264,8 @@ def score(docs: DataFrame, model: QualityModel | None = None) -> DataFrame:
 def keep_good(docs: DataFrame, model: QualityModel | None = None) -> DataFrame:
     """The rows of docs that the scorer keeps, all their columns unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(_filter(shared), docs.schema)
+    own = boxed(docs, text=F.col("text").cast("string"))
+    return own.mapInArrow(_filter(shared), own.select("row").schema).select("row.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

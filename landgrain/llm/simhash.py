@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, slices
+from .common import as_bytes, boxed, materialise, slices, text_tag
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: (first bit, code bits, further bits, threshold of the block)
@@ -63,12 +63,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed 64 bits), tag of the text, of every row; a null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _tag().alias("tag")).mapInArrow(_fingerprints, "doc_id long, fp long, tag long")
-
-
-def _tag() -> Column:
-    """Tells rows apart that share a doc_id but not a text."""
-    return F.xxhash64(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_tag().alias("tag")).mapInArrow(_fingerprints, "doc_id long, fp long, tag long")
 
 
 def _patterns(code: int, further: int, within: int) -> list[tuple[int, int]]:
@@ -110,7 +105,7 @@ def links(fps: DataFrame) -> DataFrame:
     """a, b: labels of different clusters with a pair of fingerprints at THRESHOLD bits or fewer. fps: distinct `fp`, its cluster `c`.
 
     Rows grow as a constant (174) times the number of different fingerprints; the join on the anchor
-    can be split by Spark where an anchor is hot.
+    can be split by Spark where an anchor is hot, and no replica goes into it that meets its own cluster only.
     """
     spark = fps.sparkSession
     homes, replicas = [], []
@@ -123,9 +118,14 @@ def links(fps: DataFrame) -> DataFrame:
         home = F.col("v").bitwiseXOR(F.when(F.col("s") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, s - 1)")))
         homes.append(at.select((home + tag).alias("anchor"), F.col("fp").alias("x"), F.col("c").alias("cx")))
         replicas.append(at.join(F.broadcast(patterns), "s").select((F.col("v").bitwiseXOR(F.col("e")) + tag).alias("anchor"), F.col("fp").alias("y"), F.col("c").alias("cy")))
+    # either of a pair is a replica at the other's home, so one direction will do; replicas go on only where an
+    # anchor is the home of a smaller cluster: a dense cluster does not meet itself
+    home = materialise(homes[0].unionAll(homes[1]), "homes")
+    held = materialise(home.groupBy("anchor").agg(F.min("cx").alias("lo")), "anchors")
+    others = replicas[0].unionAll(replicas[1]).join(held, "anchor").where("lo < cy").select("anchor", "y", "cy")
+    others = materialise(others, "replicas")
     near = (F.col("cx") < F.col("cy")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= THRESHOLD)
-    pairs = homes[0].unionAll(homes[1]).join(replicas[0].unionAll(replicas[1]), "anchor").where(near)
-    return pairs.select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct()
+    return home.join(others, "anchor").where(near).select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct()
 
 
 def clusters(fps: DataFrame) -> DataFrame:
@@ -169,7 +169,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     rows = materialise(fingerprints(docs), "fingerprints")
     named = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies")), "vertices")
     inside = materialise(named.join(clusters(named.select("fp")), "fp"), "clusters")
-    least = inside.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written first: Spark splits a hot root only where both sides are shuffled for the join itself
+    least = materialise(inside.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return rows.join(inside.join(least, "root").select("fp", "root", "component_id", "n_copies"), "fp")
 
 
@@ -179,10 +180,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Where a component has several texts of that doc_id, the one with the smallest tag stays; a doc_id that is the smallest
     of several components stays in each. Copies in doc_id and text stay once; rows without a doc_id all stay.
     """
-    keep = _grouped(docs).where("doc_id = component_id").groupBy("root", F.col("doc_id").alias("__keep")).agg(F.min("tag").alias("__text")).drop("root").distinct()
-    own = docs.where("doc_id is not null").withColumn("__tag", _tag())
-    kept = own.join(keep, (own["doc_id"] == F.col("__keep")) & (F.col("__tag") == F.col("__text"))).dropDuplicates(["__keep", "__tag"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    found = _grouped(docs).where("doc_id = component_id").groupBy("root", F.col("doc_id").alias("least_id")).agg(F.min("tag").alias("least_tag"))
+    keep = materialise(found.select("least_id", "least_tag").distinct(), "kept")
+    own = boxed(docs, doc_id=F.col("doc_id").cast("long"), tag=text_tag())
+    kept = own.join(keep, (F.col("doc_id") == F.col("least_id")) & (F.col("tag") == F.col("least_tag")))
+    return kept.dropDuplicates(["doc_id", "tag"]).unionByName(own.where("doc_id is null"), True).select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

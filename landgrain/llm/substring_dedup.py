@@ -29,20 +29,18 @@ from pyspark.sql import functions as F
 from .common import as_bytes, materialise, slices, text_tag
 
 WINDOW, SEED = 50, 16
-#: Requests for at most so many documents' windows are sent to the documents; beyond, documents are shuffled to the requests.
-BROADCAST_DOCS = 200_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 class _Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """128-bit hashes of words, remembered up to a bound."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > 400_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
+        self[word] = h = xxhash.xxh3_128_digest(word, 7)
         return h
 
 
@@ -67,7 +65,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words:
-    """Rolling hashes over the words of several texts laid end to end."""
+    """Rolling hashes over the words of several texts laid end to end, from either half of the words' hashes."""
 
     def __init__(self, texts: list[bytes], hashes: _Hashes, powers: _Powers) -> None:
         lists = [(t or b"").split() for t in texts]
@@ -75,11 +73,15 @@ class _Words:
         self.starts = np.cumsum(self.lengths) - self.lengths
         n = int(self.lengths.sum())
         up, self.down = powers.get(n)
-        w = np.fromiter((hashes[x] for words in lists for x in words), np.uint64, n)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[:n], dtype=np.uint64)])
+        w = np.frombuffer(b"".join([hashes[x] for words in lists for x in words]), np.uint64).reshape(n, 2)
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(w[:, half] * up[:n], dtype=np.uint64)]) for half in (0, 1)]
 
-    def hash(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return _mix((self.sums[start + length] - self.sums[start]) * self.down[start])
+    def hash(self, start: np.ndarray, length: np.ndarray | int, half: int = 0) -> np.ndarray:
+        return _mix((self.sums[half][start + length] - self.sums[half][start]) * self.down[start])
+
+    def both(self, start: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes: 128 bits that stand for the words, whatever the size of the corpus."""
+        return tuple(self.hash(start, length, half).view(np.int64) for half in (0, 1))
 
 
 def _rightmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -103,7 +105,7 @@ def occurrences(texts: list[bytes], hashes: _Hashes, powers: _Powers, window: in
     n = int(words.lengths.sum())
     none = np.zeros(0, np.int64)
     if n < window:
-        return {k: none for k in ("row", "start", "len", "off", "seed", "run")}
+        return {k: none for k in ("row", "start", "len", "off", "seed", "run", "run2")}
     grams = words.hash(np.arange(n - seed + 1), seed)
     anchor = _rightmost_least(grams, window - seed + 1)
     row = np.repeat(np.arange(len(texts)), np.maximum(words.lengths - window + 1, 0))
@@ -113,7 +115,8 @@ def occurrences(texts: list[bytes], hashes: _Hashes, powers: _Powers, window: in
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])) if len(at) else none
     count = np.diff(np.append(new, len(at)))
     start, seeds = at[new], anchor[new]
-    return {"row": row[new], "start": start - words.starts[row[new]], "len": count, "off": seeds - start, "seed": grams[seeds].view(np.int64), "run": words.hash(start, count + window - 1).view(np.int64)}
+    run, run2 = words.both(start, count + window - 1)
+    return {"row": row[new], "start": start - words.starts[row[new]], "len": count, "off": seeds - start, "seed": grams[seeds].view(np.int64), "run": run, "run2": run2}
 
 
 def _occurrences(window: int, seed: int):
@@ -123,29 +126,29 @@ def _occurrences(window: int, seed: int):
             found = occurrences(as_bytes(b.column("text")), hashes, powers, window, seed)
             row = pa.array(found["row"])
             yield pa.record_batch(
-                [b.column("doc_id").take(row), b.column("tag").take(row), *(pa.array(found[k].astype(t)) for k, t in (("start", np.int32), ("len", np.int32), ("off", np.int32), ("seed", np.int64), ("run", np.int64)))],
-                names=["doc_id", "tag", "start", "len", "off", "seed", "run"],
+                [b.column("doc_id").take(row), b.column("tag").take(row), *(pa.array(found[k].astype(t)) for k, t in (("start", np.int32), ("len", np.int32), ("off", np.int32), ("seed", np.int64), ("run", np.int64), ("run2", np.int64)))],
+                names=["doc_id", "tag", "start", "len", "off", "seed", "run", "run2"],
             )
 
     return run
 
 
 def _windows(window: int):
-    """Hashes of the requested windows: doc_id, start, the window's place in the run, hash."""
+    """Hashes of the requested windows: class, doc_id, the window's place in the run, hash (two halves)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = _Hashes(), _Powers()
         for b in slices(batches, "text", 1 << 20):
             words = _Words(as_bytes(b.column("text")), hashes, powers)
             ids, runs = b.column("doc_id").to_pylist(), b.column("runs").to_pylist()
-            asked = [(i, r["start"], r["len"], r["class"]) for i, own in enumerate(runs) for r in own]
+            asked = [(i, r["start"], r["len"], r["class"], r["run2"]) for i, own in enumerate(runs) for r in own]
             if not asked:
                 continue
-            i, start, n, kind = (np.array(x) for x in zip(*asked, strict=True))
+            i, start, n, kind, kind2 = (np.array(x) for x in zip(*asked, strict=True))
             k = np.repeat(np.arange(len(i)), n)
             place = np.arange(len(k)) - (np.cumsum(n) - n)[k]
-            h = words.hash(words.starts[i[k]] + start[k] + place, window).view(np.int64)
-            yield pa.record_batch([pa.array(kind[k]), pa.array(np.array(ids)[i[k]]), pa.array(place.astype(np.int32)), pa.array(h)], names=["class", "doc_id", "place", "hash"])
+            h, h2 = words.both(words.starts[i[k]] + start[k] + place, window)
+            yield pa.record_batch([pa.array(kind[k]), pa.array(kind2[k]), pa.array(np.array(ids)[i[k]]), pa.array(place.astype(np.int32)), pa.array(h), pa.array(h2)], names=["class", "run2", "doc_id", "place", "hash", "hash2"])
 
     return run
 
@@ -186,26 +189,27 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
     """
     if not 0 <= window - seed < 63:
         raise ValueError("a run of windows must fit a 63-bit mask")
-    fields = "doc_id long, tag int, start int, len int, off int, seed long, run long"
+    fields = "doc_id long, tag long, start int, len int, off int, seed long, run long, run2 long"
     every = materialise(docs.where("doc_id is not null").mapInArrow(_occurrences(window, seed), fields), "occurrences")
-    # written first, as are the decisions below: Spark splits a hot key of a join only where both sides are shuffled for the join itself
+    # aggregates are written before they are joined: Spark splits a hot key of a join only where both sides are shuffled for the join itself
     shared = materialise(every.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed"), "seeds")
+    # a class: the words of the run, by 128 bits of hash, and where its seed lies
     own = materialise(every.join(shared, "seed", "left_semi").withColumn("class", F.xxhash64("seed", "off", "len", "run")), "shared")
-    classes = own.groupBy("class").agg(F.min(F.struct("doc_id", "tag", "start", "len", "seed")).alias("f"))
-    classes = materialise(classes.select("class", "f.*"), "classes")
+    kind = ["class", "run2"]
+    classes = own.groupBy(*kind).agg(F.min(F.struct("doc_id", "tag", "start", "len", "seed")).alias("f"))
+    classes = materialise(classes.select(*kind, "f.*"), "classes")
     # several classes of one seed: compare windows
-    several = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    asked = classes.join(several, "seed", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "len", "class")).alias("runs"))
-    asked = materialise(asked, "asked")
-    side = F.broadcast(asked) if asked.count() <= BROADCAST_DOCS else asked
-    windows = docs.join(side, ["doc_id", "tag"]).select("doc_id", "text", "runs").mapInArrow(_windows(window), "class long, doc_id long, place int, hash long")
-    windows = materialise(windows, "windows")
-    least = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
-    early = windows.join(least, "hash").where("lo < doc_id").select("class", "place").distinct()
-    early = early.groupBy("class").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("early"))
-    decided = materialise(classes.select("class", F.col("doc_id").alias("first")).join(early, "class", "left"), "decided")
+    several = materialise(classes.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "several")
+    asked = classes.join(several, "seed", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "len", *kind)).alias("runs"))
+    # requests grow with the documents, so they are never broadcast
+    windows = docs.join(materialise(asked, "asked").hint("merge"), ["doc_id", "tag"]).select("doc_id", "text", "runs")
+    windows = materialise(windows.mapInArrow(_windows(window), "class long, run2 long, doc_id long, place int, hash long, hash2 long"), "windows")
+    least = materialise(windows.groupBy("hash", "hash2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "hash2", "lo"), "least")
+    early = windows.join(least, ["hash", "hash2"]).where("lo < doc_id").select(*kind, "place").distinct()
+    early = early.groupBy(*kind).agg(F.sum(F.expr("shiftleft(1L, place)")).alias("early"))
+    decided = materialise(classes.select(*kind, F.col("doc_id").alias("first")).join(early, kind, "left"), "decided")
     full = F.expr("shiftleft(1L, len) - 1")
-    masks = own.join(decided, "class").withColumn("mask", F.when(F.col("doc_id") > F.col("first"), full).otherwise(F.coalesce("early", F.lit(0))))
+    masks = own.join(decided, kind).withColumn("mask", F.when(F.col("doc_id") > F.col("first"), full).otherwise(F.coalesce("early", F.lit(0))))
     return masks.where("mask <> 0").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "mask")).alias("runs"))
 
 

@@ -402,31 +402,70 @@ def test_html_given_pages(spark, html_model):
         assert got == want
 
 
-def test_raking_meets_targets(docs, rows, empty):
-    got = mixing.mixed(docs).toPandas()
-    assert len(got) == len(rows)
-    got["w"] = got["__n"] * got["ratio"]
+def plain_raking(cells, targets, keep):
+    """Probabilities by bisection for each value's factor, in plain Python; cells: {(d0, d1, d2): tokens}."""
+    whole = sum(cells.values())
+    shares = []
+    for i, t in enumerate(targets):
+        total = sum(x for v, x in t.items() if any(k[i] == v for k in cells))
+        shares.append({v: x / total for v, x in t.items()})
+    u = dict.fromkeys(cells, keep)
+    for _ in range(60):
+        for i, t in enumerate(shares):
+            for v in {k[i] for k in cells}:
+                own = [k for k in cells if k[i] == v]
+                want, low, high = t.get(v, 0.0) * keep * whole, 0.0, 1e9
+                for _ in range(200):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if sum(cells[k] * min(1, mid * u[k]) for k in own) < want else (low, mid)
+                for k in own:
+                    u[k] *= (low + high) / 2
+    return {k: min(1, x) for k, x in u.items()}
+
+
+def test_raking_brute_force(spark):
+    r = random.Random(12)
+    cells = {(a, b, c): r.randint(1, 400) for a in "stu" for b in ("en", "de", "fr") for c in ("note", "prose") if r.random() < 0.9}
+    targets = [{"s": 4, "t": 3, "u": 3, "absent": 4}, {"en": 4, "de": 3, "fr": 3}, {"note": 1, "prose": 1}]
+    df = spark.createDataFrame([(*k, n) for k, n in cells.items()], "d0 string, d1 string, d2 string, n long")
+    raked, share = mixing.rake(df, [spark.createDataFrame([(v, float(x)) for v, x in t.items()], f"d{i} string, target double") for i, t in enumerate(targets)], 0.95)
+    got = {(x["d0"], x["d1"], x["d2"]): x["p"] for x in raked.collect()}
+    want = plain_raking(cells, targets, share)
+    assert 0.3 < share < 0.95 and got.keys() == want.keys() and max(got.values()) == 1  # targets shrank, some cells are cut
+    assert all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    for i, t in enumerate(targets):
+        total = sum(x for v, x in t.items() if v != "absent")
+        for v, x in t.items():
+            met = sum(n * got[k] for k, n in cells.items() if k[i] == v)
+            assert v == "absent" or met == pytest.approx(x / total * share * sum(cells.values()), rel=1e-5)
+
+
+def test_raking_meets_default_targets(docs, rows, empty):
+    from pyspark.sql import functions as F
+
+    clash = docs.withColumns({"p": F.lit(9), "ratio": F.lit("r"), "n": F.lit(1), "d0": F.lit("x"), "sampled": F.lit(7), "row": F.lit(5)})
+    got = mixing.mixed(clash).select("n", "d0", "d1", "d2", "p", "ratio", "sampled", F.col("row.p").alias("own")).toPandas()
+    assert len(got) == len(rows) and (got["own"] == 9).all() and got["p"].between(0, 1).all()
+    got["w"] = got["n"] * got["p"]
     for i in range(3):
-        own = got.groupby(f"__d{i}")["__n"].sum()
+        own = got.groupby(f"d{i}")["n"].sum()
         own = own[own > 0]
         target = (own**mixing.TEMPER) / (own**mixing.TEMPER).sum()
-        met = got.groupby(f"__d{i}")["w"].sum() / got["w"].sum()
-        assert (abs(met[target.index] / target - 1) < 0.02).all()
-    assert got["p"].between(0, 1).all() and mixing.mix(docs).columns == docs.columns and mixing.mixed(empty).count() == 0
+        met = got.groupby(f"d{i}")["w"].sum() / got["w"].sum()
+        assert (abs(met[target.index] / target - 1) < 0.01).all()
+    kept = mixing.mix(clash)
+    assert kept.columns == clash.columns and kept.schema == clash.schema and {(x["p"], x["sampled"], x["row"]) for x in kept.collect()} == {(9, 7, 5)}
+    assert mixing.mixed(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
 def test_sample_meets_targets(spark):
     r = random.Random(11)
     rows = [(i, " ".join(words(r, 40 if i % 50 else 400)), "de" if i % 40 == 0 else "en", "rare" if i % 20 == 0 else "usual") for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    targets = [spark.createDataFrame(t, f"__d{i} string, target double") for i, t in enumerate(([("rare", 0.5), ("usual", 0.5)], [("de", 0.3), ("en", 0.7)], [("note", 0.6), ("prose", 0.4)]))]
+    targets = [spark.createDataFrame(t, f"d{i} string, target double") for i, t in enumerate(([("rare", 0.2), ("usual", 0.8)], [("de", 0.1), ("en", 0.9)], [("note", 0.6), ("prose", 0.4)]))]
     got = mixing.mixed(docs, targets).toPandas()
-    assert got["ratio"].max() * mixing.KEEP > 2  # more than single draws can give
-    for weight, most in (("expected", 1e-3), ("copies", 0.05)):
-        got["w"] = got["__n"] * got[weight]
-        assert abs(got["w"].sum() / got["__n"].sum() / mixing.KEEP - 1) < most
+    for weight, most in (("p", 1e-3), ("sampled", 0.15)):
+        got["w"] = got["n"] * got[weight]
         for i, t in enumerate(targets):
-            met = got.groupby(f"__d{i}")["w"].sum() / got["w"].sum()
-            assert all(abs(met[x["__d%d" % i]] / x["target"] - 1) < most for x in t.collect() if x[f"__d{i}"] in met)
-    sample = mixing.mix(docs, targets).groupBy("doc_id").count().collect()
-    assert {x["doc_id"]: x["count"] for x in sample} == {i: n for i, n in zip(got["doc_id"], got["copies"], strict=True) if n}
+            met = got.groupby(f"d{i}")["w"].sum() / got["w"].sum()
+            assert all(abs(met[x[f"d{i}"]] / x["target"] - 1) < most for x in t.collect() if x[f"d{i}"] in met)
