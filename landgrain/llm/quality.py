@@ -87,7 +87,7 @@ class Words:
             symbols, letters, shape = 0, len(core), _collapse(before) + middle + _collapse(after)
         else:
             symbols, capitals, letters = sum(c in _SYMBOLS for c in w), sum(c.isupper() for c in w), sum(c.isalpha() for c in w)
-            shape = _collapse("".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c if c < "\x7f" else "?" for c in w[:64]))
+            shape = _collapse("".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c if c < "\x7f" else "?" for c in w))
         self.fields[k] = (len(w), symbols, capitals, letters, w[-1] in ".!?", core.lower() in STOP, w.count("!"))
         if shape not in self.hashes:
             if len(self.hashes) > 50_000:
@@ -255,7 +255,11 @@ def _filter(shared):
 
 
 def score(docs: DataFrame, model: QualityModel | None = None) -> DataFrame:
-    """doc_id, n_words, score, posterior, kept for every row of docs; null and empty texts score 0 and are not kept."""
+    """doc_id, n_words, score, posterior, kept for every row of docs; null and empty texts score 0 and are not kept.
+
+    Repeated rows score alike; a score of exactly KEEP is kept; an empty table gives no rows; texts of any length are read whole and
+    columns beyond doc_id and text not at all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_score(shared), "doc_id long, n_words long, score double, posterior double, kept boolean")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import boxed, materialise, table, text_tag
 
 SHARDS, BITS = 8, 5
 
@@ -62,38 +62,49 @@ def place_rows(rows: DataFrame, *order: str, shards: int = SHARDS) -> DataFrame:
     """rows with `shard` and `slot`: sorted by `order`, cut into runs whose counts are at most one apart.
 
     Written once in that order; a row's place is its partition's offset plus its place in the partition.
-    Nothing but a count for each partition is gathered.
+    Nothing but a count for each partition is gathered. The names at, part, before, whole and place are taken.
     """
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = materialise(ordered.withColumn("__at", F.monotonically_increasing_id()), "curve")
-    part = F.shiftright("__at", 33)
-    counts = ordered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"), F.sum("n").over(Window.partitionBy()).alias("__all"))
-    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    small, more = F.expr(f"__all div {shards}"), F.col("__all") % shards
+    ordered = materialise(ordered.withColumn("at", F.monotonically_increasing_id()), "curve")
+    counts = ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    # a row for each partition that Spark made of the sort: as few as its tasks
+    offsets = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("whole"))
+    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    small, more = F.expr(f"whole div {shards}"), F.col("whole") % shards
     cut = (small + 1) * more
-    index = F.when(F.col("__place") < cut, F.floor(F.col("__place") / (small + 1))).otherwise(more + F.floor((F.col("__place") - cut) / F.greatest(small, F.lit(1))))
+    index = F.when(F.col("place") < cut, F.floor(F.col("place") / (small + 1))).otherwise(more + F.floor((F.col("place") - cut) / F.greatest(small, F.lit(1))))
     start = F.col("shard") * small + F.least(F.col("shard").cast("long"), more)
-    placed = ordered.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn("__place", place).withColumn("shard", index.cast("int"))
-    return placed.withColumn("slot", F.col("__place") - start).drop("__at", "__part", "__before", "__all", "__place")
+    placed = ordered.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(offsets), "part").withColumn("place", place).withColumn("shard", index.cast("int"))
+    return placed.withColumn("slot", F.col("place") - start).drop("at", "part", "before", "whole", "place")
+
+
+#: Along the curve, then by the text's hash, so that equal texts of a cell are neighbours, then by doc_id
+ORDER = ("hilbert", "tie", "doc_id")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """docs with `hilbert`, `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard), columns of these names replaced.
 
     The first `rows mod shards` shards hold one row more. Equal cells are ordered by text hash and doc_id, so equal
-    texts of one cell are neighbours; rows equal in all of these are interchangeable. Null texts are empty. A
-    table with fewer rows than shards leaves the last shards empty.
+    texts of one cell are neighbours; rows equal in all of these are interchangeable. Null and empty texts have size 1, nulls of
+    the other dimensions a cell of their own. A table with fewer rows than shards leaves the last shards empty, an empty one all.
     """
     own = docs.drop("hilbert", "shard", "slot")
-    keyed = own.withColumn("hilbert", hilbert_index(cells(own, bits), bits)).withColumn("__tie", F.xxhash64("text"))
-    return place_rows(keyed, "hilbert", "__tie", "doc_id", shards=shards).drop("__tie")
+    keyed = boxed(own, hilbert=hilbert_index(cells(own, bits), bits), tie=text_tag(), doc_id=F.col("doc_id"))
+    return place_rows(keyed, *ORDER, shards=shards).select("row.*", "hilbert", "shard", "slot")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 32) -> None:
+    """shard(docs) as Parquet folders, one a shard, each in about `files` files of consecutive slots.
+
+    A file is a run of the curve, so that its statistics bound every dimension and a reader skips most files.
+    """
+    placed = shard(docs, shards)
+    placed.repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    text = F.col("text").cast("string")
-    slim = docs.select("doc_id", "lang", "source", text.alias("text"))
-    # the text itself need not travel: its size, checksum and hash stand for it
-    keyed = slim.select("doc_id", hilbert_index(cells(slim), BITS).alias("hilbert"), size_of().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    return place_rows(keyed, "hilbert", "text_crc32", "size", "doc_id").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """shard() of whole documents by the law `rows`; the text itself need not travel: its size, checksum and hash stand for it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("text").cast("string").alias("text"))
+    keyed = docs.select("doc_id", hilbert_index(cells(docs), BITS).alias("hilbert"), text_tag().alias("tie"), size_of().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    return place_rows(keyed, *ORDER).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

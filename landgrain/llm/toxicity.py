@@ -1,13 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words map to classes (insult, threat, target, negation, report, other; a clause mark follows the word that ends
-a clause). Four small transducers rewrite the class sequence: negation (an insult or threat within three words
-after a negation), reported speech (until the clause ends), target before (within four words) and target after
-(within three). Their composition is one deterministic machine, built once. Its outputs are matches
-of a clause: an insult or threat, aimed or not, negated, reported. A document's score is the logistic of its matched
-clauses' weights.
-
-Insults are learned: words and word beginnings that labelled rows show in toxic documents. The weights of
+Words map to classes (slur, violent verb, intent, wish, death, pursuit, target, negation, reporting verb and the like;
+a clause mark follows the word that ends a clause). Six small transducers rewrite the class sequence: insult (a slur, or a phrase
+such as "piece of trash"), threat (an announced violent act, a wish of death, "watch your back", a pursuit announced twice),
+negation (an insult or threat within three words after a negation), reported speech (until the clause ends), target before
+(within four words) and target after (within three). Their composition is one deterministic machine, built once. Its outputs are
+matches of a clause: an insult or threat, intended, aimed or not, negated, reported. A violent verb that is neither intended
+nor aimed is no match. A document's score is the logistic of its matches' weights.
+
+Slurs are learned: words and word beginnings that labelled rows show in toxic documents. The weights of
 the machine's outputs start from a prior (a negated or reported insult counts for less) and are fitted to
 the labels.
 """
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import deque
 from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +29,32 @@ from pyspark.sql import functions as F
 from .common import as_bytes, slices, table
 
 #: Labelled rows that the lexicon and the weights are fitted to (expected; drawn by a hash), and what a pattern needs
-SAMPLE, SUPPORT, PURITY, EVIDENCE, LEXICON = 20_000, 5, 0.8, 21.0, 3_000
+SAMPLE, SUPPORT, PURITY, EVIDENCE = 20_000, 5, 0.8, 21.0
 #: Lengths of word beginnings that may become patterns, in characters; at least one more follows
 STEMS = (3, 4, 5, 6, 7, 8)
 CUT = 0.7
 
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, SLUR, VIOLENT, INTENT, WISH, DEATH, PURSUIT, WATCH, BACK, PIECE, OF, DIRT = range(18)
 # Fixed word lists of the grammar's closed classes, some languages together
-THREATS = frozenset("kill murder hurt beat stab shoot strangle hang burn destroy töten umbringen schlagen erschießen tuer frapper étrangler matar golpear apuñalar".split())
-TARGETS = frozenset("you your u ya yourself yourselves they them she he him her everyone du dich dir ihr euch sie tu te toi vous ils elle tú usted ustedes vosotros ellos".split())
-NEGATIONS = frozenset("not no never neither nor without isn't aren't wasn't don't doesn't didn't won't can't nicht kein keine nie pas jamais aucun nunca jamás sin ni".split())
-REPORTS = frozenset("said says wrote writes called calls quoted quotes quote claimed claims reported reports according sagte schrieb nannte laut dit écrit selon appelé dijo escribió llamó según".split())
-
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-#: Outputs carry flags: 1 aimed before, 2 negated, 4 reported; an aimed-after mark adds to the match before it
-AIMED, NEGATED, REPORTED = 1, 2, 4
+WORDS = {
+    VIOLENT: "kill murder hurt beat stab shoot strangle hang burn destroy töten umbringen schlagen erschießen tuer frapper étrangler matar golpear apuñalar",
+    INTENT: "will gonna going shall i'll we'll werde werden vais allons voy vamos",
+    WISH: "deserve deserves hope wish should verdienst verdient hoffe mérites mérite espère mereces merece espero",
+    DEATH: "die dies dead death suffer sterben stirbst tot mourir meurs meure mort morir mueras muera muerto",
+    PURSUIT: "find end finish hunt get finde finden beenden trouver finir chasser encontrar acabar cazar",
+    WATCH: "watch", BACK: "back",
+    PIECE: "piece waste pile bag stück haufen tas sac pedazo saco", OF: "of von de", DIRT: "trash garbage shit crap dirt space oxygen scheiße dreck müll merde ordures mierda basura",
+    TARGET: "you your u ya yourself yourselves they them she he him her everyone du dich dir ihr euch sie tu te toi vous ils elle tú usted ustedes vosotros ellos",
+    NEGATION: "not no never neither nor without isn't aren't wasn't don't doesn't didn't won't can't nicht kein keine nie pas jamais aucun nunca jamás sin ni",
+    REPORT: "said says wrote writes called calls quoted quotes quote claimed claims reported reports according sagte schrieb nannte laut dit écrit selon appelé dijo escribió llamó según",
+}
+CLASS_OF = {w: k for k, words in WORDS.items() for w in words.split()}
+
+#: Outputs carry flags: 1 aimed before, 2 negated, 4 reported, 8 intended; an aimed-after mark adds to the match before it
+AIMED, NEGATED, REPORTED, INTENDED = 1, 2, 4, 8
 AFTER = 64
+#: A threat's beginning and how many words it lasts: intent, wish, pursuit once announced, "watch", "watch your"
+LASTS = {INTENT: 3, WISH: 4, PURSUIT: 4, WATCH: 1, BACK: 1}
 
 
 class Transducer:
@@ -50,6 +64,31 @@ class Transducer:
         self.start, self.step = start, step
 
 
+def _insult(state: int, symbol: tuple[int, int]) -> tuple[int, tuple[int, int]]:
+    kind, flags = symbol
+    if kind == SLUR or kind == DIRT and state == 2:
+        return 0, (INSULT, flags)
+    return (1 if kind == PIECE else 2 if kind == OF and state == 1 else 0), symbol
+
+
+def _threat(state: tuple[int, int], symbol: tuple[int, int]) -> tuple[tuple[int, int], tuple[int, int]]:
+    kind, flags = symbol
+    begun, left = state
+    if kind == VIOLENT:
+        return state, (THREAT, flags | (INTENDED if begun in (INTENT, PURSUIT) else 0))
+    if (kind, begun) in ((DEATH, WISH), (PURSUIT, PURSUIT), (BACK, BACK)):
+        return (0, 0), (THREAT, flags | INTENDED)
+    if kind in (INTENT, WISH, WATCH):
+        return (kind, LASTS[kind]), symbol
+    if kind == PURSUIT and begun == INTENT:
+        return (PURSUIT, LASTS[PURSUIT]), symbol
+    if kind == TARGET and begun == WATCH:
+        return (BACK, LASTS[BACK]), symbol
+    if kind == TARGET and begun in (INTENT, PURSUIT):  # "will you and yours": a target takes no room
+        return state, symbol
+    return ((begun, left - 1) if left > 1 and kind != END else (0, 0)), symbol
+
+
 def _negation(state: int, symbol: tuple[int, int]) -> tuple[int, tuple[int, int]]:
     kind, flags = symbol
     if kind in (INSULT, THREAT) and state:
@@ -80,6 +119,10 @@ def _after(state: int, symbol: tuple[int, int]) -> tuple[int, tuple[int, int]]:
     return (0 if kind == END else max(0, state - 1)), symbol
 
 
+#: In the order in which they rewrite
+PARTS = (Transducer(0, _insult), Transducer((0, 0), _threat), Transducer(0, _negation), Transducer(0, _report), Transducer(0, _before), Transducer(0, _after))
+
+
 def compose(first: Transducer, second: Transducer) -> Transducer:
     """What second makes of first's output."""
 
@@ -91,16 +134,15 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer((first.start, second.start), step)
 
 
+@cache
 def machine() -> tuple[list[list[int]], list[list[int]]]:
     """next[state][class] and output[state][class] (class * 128 + flags, or 0) of the composed grammar; state 0 starts."""
-    t = Transducer(0, _negation)
-    for f in (_report, _before, _after):
-        t = compose(t, Transducer(0, f))
-    numbers, todo, nxt, out = {t.start: 0}, [t.start], [], []
+    t = reduce(compose, PARTS)
+    numbers, todo, nxt, out = {t.start: 0}, deque([t.start]), [], []
     while todo:
-        state = todo.pop(0)
+        state = todo.popleft()
         row, emits = [], []
-        for kind in range(7):
+        for kind in range(18):
             to, (k, flags) = t.step(state, (kind, 0))
             if to not in numbers:
                 numbers[to] = len(numbers)
@@ -113,8 +155,8 @@ def machine() -> tuple[list[list[int]], list[list[int]]]:
 
 
 #: Features of a document: matched clauses by kind; with the prior of their weights
-KINDS = ("insult", "insult aimed", "insult negated", "insult reported", "threat", "threat aimed", "threat held back", "further clauses")
-PRIOR = np.array([2.0, 2.5, 0.3, 0.5, 0.5, 2.5, 0.2, 0.3])
+KINDS = ("insult", "insult aimed", "insult negated", "insult reported", "threat", "threat aimed", "violence aimed", "threat held back", "further matches")
+PRIOR = np.array([2.0, 2.5, 0.3, 0.5, 1.0, 6.0, 1.0, 0.2, 0.3])
 
 
 class Classes(dict):
@@ -133,7 +175,7 @@ class Classes(dict):
             if n >= len(word):
                 break
             strength = max(strength, self.lexicon.get(word[:n] + "*", 0.0))
-        kind = INSULT if strength else THREAT if word in THREATS else TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
+        kind = SLUR if strength else CLASS_OF.get(word, OTHER)
         self[raw] = got = (kind, strength, ends)
         return got
 
@@ -146,7 +188,7 @@ def letters(raw: bytes) -> tuple[str, bool]:
         a += 1
     while b > a and not w[b - 1].isalnum():
         b -= 1
-    return w[a:b].lower()[:64], any(c in ".,;:!?" for c in w[b:])
+    return w[a:b].lower(), any(c in ".,;:!?" for c in w[b:])
 
 
 class Grammar:
@@ -161,7 +203,8 @@ class Grammar:
         hits = 0
         for line in (text or b"").split(b"\n"):
             got = list(map(self.classes.__getitem__, line.split()))
-            if not any(k in (INSULT, THREAT) for k, _, _ in got):
+            seen = {k for k, _, _ in got}
+            if not (SLUR in seen or VIOLENT in seen or {WISH, DEATH} <= seen or {INTENT, PURSUIT} <= seen or {WATCH, BACK} <= seen or {PIECE, DIRT} <= seen):
                 continue
             state, matches = 0, []
             for kind, strength, ends in got:
@@ -176,19 +219,20 @@ class Grammar:
                     hits += self._clause(matches, x)
                     matches = []
             hits += self._clause(matches, x)
-        x[7] = max(0, hits - 1)
+        x[8] = max(0, hits - 1)
         return np.log1p(4 * x) / math.log(5)
 
     @staticmethod
     def _clause(matches: list, x: np.ndarray) -> int:
+        """Count the clause's strongest match; how many matches it has that are neither negated nor reported."""
+        matches = [m for m in matches if m[0] == INSULT or m[1] & (AIMED | INTENDED)]
         for kind, flags, strength in sorted(matches, key=lambda m: -m[2])[:1]:
             held = flags & (NEGATED | REPORTED)
             if kind == THREAT:
-                x[6 if held else 5 if flags & AIMED else 4] += 1
-                return int(not held and bool(flags & AIMED))
-            x[2 if flags & NEGATED else 3 if flags & REPORTED else 1 if flags & AIMED else 0] += strength
-            return int(not held)
-        return 0
+                x[7 if held else 4 if not flags & AIMED else 5 if flags & INTENDED else 6] += 1
+            else:
+                x[2 if flags & NEGATED else 3 if flags & REPORTED else 1 if flags & AIMED else 0] += strength
+        return sum(not m[1] & (NEGATED | REPORTED) for m in matches)
 
 
 class ToxicityModel:
@@ -237,7 +281,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     found = counts.where(t >= SUPPORT).withColumn("evidence", 2 * (term(t, n * p) + term(c, n * (1 - p)))).withColumn("purity", t / n)
     found = found.where((F.col("evidence") >= EVIDENCE) & (F.col("purity") >= PURITY))
-    kept = found.orderBy(F.col("evidence").desc(), "form").limit(LEXICON).collect()  # the lexicon's size is a parameter of the model
+    kept = found.collect()  # of forms in SUPPORT of the sample's toxic documents at least: bounded by the sample
     lexicon: dict[str, float] = {}
     pure: dict[str, float] = {}
     for r in sorted(kept, key=lambda r: (len(r["form"].rstrip("*")), r["form"])):
@@ -276,8 +320,12 @@ def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 1.0, rounds: int = 6
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """Fit lexicon and weights to labelled rows that are not held out."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out()).dropDuplicates(["doc_id"])
+    """Fit lexicon and weights to labelled rows that are not held out.
+
+    A document with clashing labels counts as toxic; labels without doc_id or toxic are left out. Without labels of both classes the
+    lexicon is empty and the weights are the prior's.
+    """
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id")  # sample rows at most
@@ -304,7 +352,8 @@ def _scores(shared):
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; null and empty texts have the score of no match.
 
-    held_out is null where doc_id is. Repeated rows score alike.
+    held_out is null where doc_id is. Repeated rows score alike, an empty table gives no rows, columns beyond doc_id and text are
+    not read. Texts of any length are scored whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("held_out", held_out())

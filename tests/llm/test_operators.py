@@ -246,19 +246,90 @@ def test_encoder_equals_library(monkeypatch):
             assert flat[a:z].tolist() == t.encode(x or "", add_special_tokens=False).ids, repr(x)[:80]
 
 
+def hilbert_curve(bits):
+    """Cells of a three-dimensional cube by a walk: index of each by bitwise rotation, one cell at a time."""
+    out = {}
+    for cell in range(1 << 3 * bits):
+        x = [cell >> bits * i & (1 << bits) - 1 for i in range(3)]
+        key, q = tuple(x), 1 << bits - 1
+        while q > 1:
+            for i in range(3):
+                if x[i] & q:
+                    x[0] ^= q - 1
+                else:
+                    t = (x[0] ^ x[i]) & q - 1
+                    x[0] ^= t
+                    x[i] ^= t
+            q >>= 1
+        for i in (1, 2):
+            x[i] ^= x[i - 1]
+        t = 0
+        for b in range(bits - 1, 0, -1):
+            if x[2] >> b & 1:
+                t ^= (1 << b) - 1
+        x = [v ^ t for v in x]
+        out[key] = int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+    return out
+
+
 def test_hilbert_and_shards(spark, docs, rows, empty):
+    import math
+
     from pyspark.sql import functions as F
 
     g = spark.range(512).select((F.col("id") % 8).alias("x"), (F.floor(F.col("id") / 8) % 8).alias("y"), F.floor(F.col("id") / 64).alias("z"))
     g = g.withColumn("h", sharding.hilbert_index([F.col("x"), F.col("y"), F.col("z")], 3)).orderBy("h").collect()
     assert [r["h"] for r in g] == list(range(512)) and all(abs(a["x"] - b["x"]) + abs(a["y"] - b["y"]) + abs(a["z"] - b["z"]) == 1 for a, b in zip(g, g[1:], strict=False))
-    s = sharding.shard(docs.withColumn("slot", F.lit("clash"))).collect()
-    assert len(s) == len(rows)
+    curve = hilbert_curve(3)
+    assert all(curve[r["x"], r["y"], r["z"]] == r["h"] for r in g)
+    clash = docs.withColumns({"slot": F.lit("clash"), "row": F.lit(1), "tie": F.lit(2), "at": F.lit(3)})
+    s = sharding.shard(clash).collect()
+    assert len(s) == len(rows) and {(r["row"], r["tie"], r["at"]) for r in s} == {(1, 2, 3)}
     by = {}
     for r in s:
         by.setdefault(r["shard"], []).append(r["slot"])
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert sharding.shard(empty).count() == 0 and {r["shard"] for r in sharding.shard(docs.limit(3)).collect()} == {0, 1, 2}
+    # every row's cell, and the order of the curve
+    curve, top = hilbert_curve(sharding.BITS), (1 << sharding.BITS) - 1
+    name = lambda v: zlib.crc32((v or "\0").encode()) % (top + 1)
+    for r in s:
+        size = min(top, math.floor(math.log2(len((r["text"] or "").encode()) + 1) * top / 24))
+        assert r["hilbert"] == curve[size, name(r["lang"]), name(r["source"])]
+    placed = sorted(s, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["hilbert"] for r in placed] == sorted(r["hilbert"] for r in s)
+
+
+def test_shards_of_the_query(spark, rows, tmp_path):
+    spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op5_hilbert_shards(spark, str(tmp_path)).collect()
+    want = [(x[0], len((x[1] or "").encode()) + 1, zlib.crc32((x[1] or "").encode())) for x in rows]
+    assert sorted(map(str, want)) == sorted(str((g["doc_id"], g["size"], g["text_crc32"])) for g in got)
+    counts = [sorted(g["slot"] for g in got if g["shard"] == k) for k in range(8)]
+    assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1 and sum(map(len, counts)) == len(rows)
+    assert {(g["law"], g["grown_shard"]) for g in got} == {("rows", None)}
+
+
+def test_files_are_pruned(spark, tmp_path):
+    """Few of the written files can hold a language and a source that a reader asks for."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    r = random.Random(3)
+    rows = [(i, "x" * int(2 ** r.uniform(4, 12)), r.choice(["en", "de", "fr", "es"]), f"s{r.randrange(6)}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sharding.write_shards(docs, str(tmp_path / "out"), files=6)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 3000 and back.select("shard").distinct().count() == 8
+    files = glob.glob(str(tmp_path / "out" / "shard=*" / "*.parquet"))
+    spans = []
+    for f in files:
+        g = pq.ParquetFile(f).metadata.row_group(0)
+        stats = {g.column(c).path_in_schema: g.column(c).statistics for c in range(g.num_columns)}
+        spans.append({c: (stats[c].min, stats[c].max) for c in ("lang", "source")})
+    hit = [sum(a["lang"][0] <= lang <= a["lang"][1] and a["source"][0] <= source <= a["source"][1] for a in spans) for lang in ("en", "de", "fr", "es") for source in ("s0", "s3", "s5")]
+    assert len(files) >= 40 and sum(hit) / len(hit) < 0.5 * len(files)
 
 
 def test_rules_brute_force(docs, rows, empty):
@@ -292,10 +363,84 @@ def test_label_model_recovers_classes():
     assert all(b >= a - 1e-6 for a, b in zip(m.history, m.history[1:], strict=False)) or m.history[-1] > m.history[0]
 
 
+def plain_measures(text):
+    """The labellers' measures of one text, each by its definition, and the words' shapes."""
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, every = len(w), "".join(w)
+    letters, lines = sum(c.isalpha() for c in every), [x for x in text.split("\n") if x]
+    m = [
+        sum(c in quality._SYMBOLS for c in every) / n, sum(c.isupper() for c in every) / max(1, letters), min(1.0, len(set(w)) / n * max(1.0, n / 400) ** 0.25),
+        sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, 1 - len(set(lines)) / max(1, len(lines)), sum(x[-1] in ".!?" for x in w) / n,
+        sum(x.strip(quality._PUNCTUATION).lower() in quality.STOP for x in w) / n, len(every) / n, every.count("!") / n,
+    ]
+    shapes = [re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c if c < "\x7f" else "?" for c in x), flags=re.S) for x in w]
+    return m, shapes, n
+
+
+def plain_votes(m, n):
+    return tuple(3 if n < quality.LEAST[name] else 0 if x < low or x > high else 1 if good <= x <= to else 2 for x, (name, low, good, to, high) in zip(m, quality.LABELLERS, strict=True))
+
+
+def test_quality_brute_force(docs, rows):
+    """Votes, EM and the scorer's judgements in plain Python."""
+    import math
+
+    texts = [x[1] or "" for x in rows]
+    measured = [plain_measures(t) if t.split() else ([0.0] * 9, [], 0) for t in texts]
+    every = [plain_votes(m, n) for m, _, n in measured]
+    model = quality.train(docs)
+    # EM: every document by itself
+    post = [0.1 if v.count(0) > v.count(1) else 0.5 if 0 in v else 0.9 for v in every]
+    for _ in range(60):
+        share = (sum(post) + 9) / (len(post) + 10)
+        tables = []
+        for weight, prior in ((post, (0.5, 2.0, 1.0)), ([1 - p for p in post], (2.0, 0.5, 1.0))):
+            t = [[sum(w for w, v in zip(weight, every, strict=True) if v[j] == k) + prior[k] for k in range(3)] for j in range(9)]
+            tables.append([[x / sum(row) for x in row] for row in t])
+        odds = [math.log(share / (1 - share)) + sum(math.log(tables[0][j][k] / tables[1][j][k]) for j, k in enumerate(v) if k < 3) for v in every]
+        post = [1 / (1 + math.exp(-min(40, max(-40, o)))) for o in odds]
+    got = sorted(quality.score(docs, model).collect(), key=lambda r: (str(r["doc_id"]), r["n_words"]))
+    want = []
+    for x, (m, shapes, n), p in zip(rows, measured, post, strict=True):
+        at = [zlib.crc32(f"{name}={sum(s <= v for s in quality._STEPS)}".encode()) % quality.BUCKETS for v, (name, *_) in zip(m, quality.LABELLERS, strict=True)]
+        w = model.weights
+        odds = sum(w[zlib.crc32(s.encode()) % quality.BUCKETS] for s in shapes) / max(1, n) + sum(w[a] for a in at) + w[quality.BUCKETS]
+        want.append((x[0], n, 1 / (1 + math.exp(-min(30, max(-30, odds)))) if n else 0.0, p if n else 0.0))
+    want.sort(key=lambda r: (str(r[0]), r[1]))
+    for g, (i, n, score, p) in zip(got, want, strict=True):
+        assert (g["doc_id"], g["n_words"]) == (i, n) and g["score"] == pytest.approx(score, abs=1e-5) and g["posterior"] == pytest.approx(p, abs=1e-6) and g["kept"] == (g["score"] >= 0.5)
+
+
+def test_scorer_in_plain_python():
+    r = random.Random(4)
+    data = [(r.random(), sorted(r.sample(range(50), 5)), [r.random() for _ in range(5)]) for _ in range(40)]
+    w, squares = {}, {}
+    for _ in range(3):
+        for target, at, value in data:
+            at, value = [*at, quality.BUCKETS], [*value, 1.0]
+            p = 1 / (1 + np.exp(-sum(w.get(k, 0.0) * v for k, v in zip(at, value, strict=True))))
+            for k, v in zip(at, value, strict=True):
+                g = (target - p) * v - 1e-5 * w.get(k, 0.0)
+                squares[k] = squares.get(k, 1e-4) + g * g
+                w[k] = w.get(k, 0.0) + 0.2 * g / np.sqrt(squares[k])
+    got = quality.fit_scorer(data, 3)
+    assert all(got[k] == pytest.approx(x) for k, x in w.items())
+
+
 def test_quality_edges(docs, rows, empty):
     got = quality.score(docs).collect()
     assert len(got) == len(rows) and all(g["score"] == 0 and not g["kept"] for g in got if g["doc_id"] in (1, 2, 3))
-    assert quality.keep_good(docs).columns == docs.columns and quality.score(empty).count() == 0
+    assert quality.keep_good(docs).columns == docs.columns and quality.score(empty).count() == 0 and quality.keep_good(empty).count() == 0
+    from pyspark.sql import functions as F
+
+    clash = docs.withColumns({"__text": F.lit("t"), "row": F.lit(4), "tag": F.lit(6), "__keep": F.lit(7)})
+    model = quality.train(docs)
+    kept = quality.keep_good(clash, model)
+    assert kept.schema == clash.schema and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(g["doc_id"]) for g in quality.score(docs, model).where("kept").collect())
+    once = simhash.deduplicate(clash)
+    assert once.columns == clash.columns and {(r["__text"], r["row"], r["tag"], r["__keep"]) for r in once.collect()} == {("t", 4, 6, 7)}
 
 
 def test_grammar():
@@ -306,7 +451,33 @@ def test_grammar():
 
     assert kinds("a moron here") == {"insult"} and kinds("you are an idiot.") == {"insult aimed"} and kinds("that idiot, you") == {"insult"}
     assert kinds("idiot you") == {"insult aimed"} and kinds("you are not a moron") == {"insult negated"} and kinds("he said moron") == {"insult reported"}
-    assert kinds("I will kill you") == {"threat aimed"} and kinds("nothing to see") == set() and "further clauses" in kinds("moron. moron.")
+    assert kinds("I will kill you") == {"threat aimed"} and kinds("nothing to see") == set() and "further matches" in kinds("moron. moron.") & kinds("moron moron")
+    assert kinds("kill the process now") == kinds("find the end") == kinds("back up, watch it") == kinds("a piece of cake") == kinds("I hope so") == set()
+    assert kinds("You deserve to die") == kinds("I will find you and end you") == kinds("watch your back") == {"threat aimed"}
+    assert kinds("we will burn it") == {"threat"} and kinds("beat them") == {"violence aimed"} and kinds("he said you should die") == {"threat held back"}
+    assert kinds("you piece of trash") == {"insult aimed"} and kinds("never waste of space") == {"insult negated"}
+
+
+def test_grammar_equals_its_parts_in_sequence():
+    """The composed machine against each transducer run over the whole sequence before the next."""
+    nxt, out = toxicity.machine()
+    r = random.Random(8)
+    often = [toxicity.SLUR, toxicity.VIOLENT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.INTENT, toxicity.PURSUIT]
+    for _ in range(800):
+        word = [r.choice(often) if r.random() < 0.6 else r.randrange(18) for _ in range(r.randint(0, 14))]
+        word = [k for k in word if k not in (toxicity.INSULT, toxicity.THREAT)]
+        symbols = [(k, 0) for k in word]
+        for part in toxicity.PARTS:
+            state, made = part.start, []
+            for x in symbols:
+                state, y = part.step(state, x)
+                made.append(y)
+            symbols = made
+        state, got = 0, []
+        for k in word:
+            got.append(out[state][k])
+            state = nxt[state][k]
+        assert got == [k * 128 + f if k in (toxicity.INSULT, toxicity.THREAT) or f else 0 for k, f in symbols]
 
 
 def test_toxicity_edges(spark, docs, rows, empty):
@@ -315,6 +486,9 @@ def test_toxicity_edges(spark, docs, rows, empty):
     got = toxicity.score(docs, m).collect()
     assert len(got) == len(rows) and all(0 <= g["score"] <= 1 and g["predicted"] == int(g["score"] >= 0.7) for g in got)
     assert all(g["held_out"] == (zlib.crc32(str(g["doc_id"]).encode()) % 3 == 1) for g in got if g["doc_id"] is not None)
+    clash = spark.createDataFrame([(i, 1, t) for i in range(5, 40) for t in (0, 1)], "doc_id long, quality int, toxic int")
+    a, b = (toxicity.train(docs, x) for x in (clash, clash.where("toxic = 1")))
+    assert a.lexicon == b.lexicon and (a.weights == b.weights).all()
     assert toxicity.score(empty, m).count() == 0 and toxicity.train(docs, labels.limit(0)).lexicon == {}
 
 
