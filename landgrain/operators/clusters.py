@@ -67,10 +67,15 @@ def special_assets(rows: DataFrame) -> DataFrame:
 
 
 def diagnostics(rows: DataFrame) -> DataFrame:
-    """Per cluster: median absolute deviation of value, share of its commonest segment, and its median against all's."""
-    m = rows.groupBy("cluster").agg(quantile("tong_gia", 0.5).alias("median_value"), F.count(F.lit(1)).alias("n"))
-    mad = rows.join(F.broadcast(m), "cluster").groupBy("cluster").agg(quantile(F.abs(F.col("tong_gia") - F.col("median_value")), 0.5).alias("mad_value"))
+    """Per cluster: rows, median and median absolute deviation of log1p of the value, share of its commonest segment.
+
+    price_ratio, of all clusters: the deviation of their medians against the mean deviation within, weighted by rows;
+    price_score brings it into 0 to 1.
+    """
+    logs = rows.withColumn("__log", F.log1p("tong_gia"))
+    m = logs.groupBy("cluster").agg(quantile("__log", 0.5).alias("median_log"), F.count(F.lit(1)).alias("n"))
+    mad = logs.join(F.broadcast(m), "cluster").groupBy("cluster").agg(quantile(F.abs(F.col("__log") - F.col("median_log")), 0.5).alias("mad_log"))
     share = rows.groupBy("cluster", "segment_key").agg(F.count(F.lit(1)).alias("k")).withColumn("share", F.col("k") / F.sum("k").over(Window.partitionBy("cluster"))).groupBy("cluster").agg(F.max("share").alias("dominant_segment_share"))
-    spread = m.agg(F.stddev_pop("median_value").alias("between"))
-    within = mad.agg(F.avg("mad_value").alias("within"))
-    return m.join(mad, "cluster").join(share, "cluster").join(F.broadcast(spread)).join(F.broadcast(within)).withColumn("price_ratio", F.col("between") / F.greatest("within", F.lit(1e-6))).drop("between", "within")
+    own = m.join(mad, "cluster")
+    ratio = own.agg((F.stddev_pop("median_log") / F.greatest(F.sum(F.col("mad_log") * F.col("n")) / F.sum("n"), F.lit(1e-6))).alias("price_ratio"))
+    return own.join(share, "cluster").join(F.broadcast(ratio)).withColumn("price_score", F.tanh(F.col("price_ratio") / 2))

@@ -11,7 +11,7 @@ from ..functions.stats import quantile
 from ..functions.text import flags, normalize_admin, normalize_text, segment_key
 
 #: Streets whose display name is prescribed (fixed values)
-STREET_NAMES: dict[str, str] = {}
+STREET_NAMES = {"pham dang giang": "Phạm Đăng Giang"}
 LAT_RANGE, LON_RANGE = (10.0, 11.5), (106.0, 107.2)
 
 
@@ -24,8 +24,6 @@ def canonical_lookup(rows: DataFrame, street: str = "pho") -> DataFrame:
     raw = F.trim(F.coalesce(F.col(street).cast("string"), F.lit("")))
     counted = rows.select(raw.alias("raw"), normalize_text(F.col(street)).alias("norm"), "row_pos").where("norm <> ''").groupBy("norm", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("row_pos").alias("first"))
     best = counted.groupBy("norm").agg(F.max_by("raw", F.struct("n", -F.col("first"))).alias("canonical"))
-    if not STREET_NAMES:
-        return best
     fixed = F.create_map(*[F.lit(x) for kv in STREET_NAMES.items() for x in kv])
     return best.withColumn("canonical", F.coalesce(fixed[F.col("norm")], "canonical"))
 

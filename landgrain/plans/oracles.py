@@ -122,7 +122,7 @@ SELECT l.row_id, CASE WHEN e.n IS NOT NULL THEN 'CASE_1_SEGMENT_IN_TRAIN' WHEN n
   CASE WHEN e.n IS NOT NULL THEN 'OK' WHEN n2.s1 IS NOT NULL THEN {flag_text(('FAR_FROM_KNOWN_SEGMENTS', 'n2.inside = 0'), ('OUT_OF_TRAIN_AREA', 'n2.inside = 0'), ('FALLBACK_RADIUS_USED', 'n2.used > 1000'), ('LOW_NEIGHBOR_COUNT', 'n2.inside BETWEEN 1 AND 4'))} ELSE 'MISSING_SEGMENT_GEO|LOW_CONFIDENCE_PREDICTION' END AS inference_flag,
   CASE WHEN e.n IS NOT NULL THEN coalesce(nf.n500, 0) WHEN n2.s1 IS NOT NULL THEN n2.n500 ELSE 0 END AS neighbor_count_500m, CASE WHEN e.n IS NOT NULL THEN coalesce(nf.n1000, 0) WHEN n2.s1 IS NOT NULL THEN n2.n1000 ELSE 0 END AS neighbor_count_1000m,
   round(CASE WHEN e.n IS NOT NULL THEN nf.nearest WHEN n2.s1 IS NOT NULL THEN n2.nearest END, 3) AS nearest_segment_distance_m,
-  {r('CASE WHEN e.n IS NOT NULL THEN e.s1 WHEN n2.s1 IS NOT NULL THEN n2.s1 ELSE coalesce(tw.s1, td.s1, tg.s1) END', 'spectral_1')}, {r('CASE WHEN e.n IS NOT NULL THEN e.s2 WHEN n2.s1 IS NOT NULL THEN n2.s2 ELSE coalesce(tw.s2, td.s2, tg.s2) END', 'spectral_2')},
+  {r('CASE WHEN e.n IS NOT NULL THEN e.s1 WHEN n2.s1 IS NOT NULL THEN n2.s1 ELSE coalesce(tw.s1, td.s1, tg.s1) END', 'spectral_1', 9)}, {r('CASE WHEN e.n IS NOT NULL THEN e.s2 WHEN n2.s1 IS NOT NULL THEN n2.s2 ELSE coalesce(tw.s2, td.s2, tg.s2) END', 'spectral_2', 9)},
   {r('CASE WHEN e.n IS NOT NULL THEN e.conf WHEN n2.s1 IS NOT NULL THEN n2.conf ELSE coalesce(tw.conf, td.conf, tg.conf) * 0.5::DOUBLE END', 'cluster_confidence', 9)}
 FROM located l LEFT JOIN emb e USING (segment_key) LEFT JOIN nf USING (segment_key) LEFT JOIN n2 ON e.n IS NULL AND n2.lat = l.lat AND n2.lon = l.lon LEFT JOIN tw ON tw.phuong_norm = l.phuong_norm LEFT JOIN td ON td.quan_norm = l.quan_norm, tg"""
 
@@ -153,11 +153,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT cluster, count(*) AS cluster_sample_count, {r('greatest(quantile_cont(d, 0.75), 1e-6)', 'cluster_distance_scale')}, {r('avg(conf)', 'cluster_mean_confidence')}, {r('quantile_cont(v, 0.25)', 'cluster_total_value_p25', 4)}, {r('quantile_cont(v, 0.5)', 'cluster_total_value_median', 4)}, {r('quantile_cont(v, 0.75)', 'cluster_total_value_p75', 4)} FROM t GROUP BY 1""",
     "property_clusters": with_ctes("train") + f""", t AS (SELECT row_id % 4 AS cluster, count(*) AS n, greatest(quantile_cont((row_id % 13) / 8.0::DOUBLE, 0.75), 1e-6) AS scale, quantile_cont(CASE WHEN tong_gia > 0 THEN tong_gia END, 0.5) AS m FROM train GROUP BY 1)
         SELECT row_id, n::INT AS cluster_sample_count, {r('(row_id % 13) / 8.0::DOUBLE / scale', 'distance_to_cluster_center')}, {r('m', 'cluster_total_value_median', 4)} FROM keyed JOIN t ON t.cluster = row_id % 4""",
-    "cluster_diagnostics": with_ctes("clean") + f""", t AS (SELECT *, (row_id % 4)::INT AS cluster FROM clean), m AS (SELECT cluster, count(*) AS n, quantile_cont(tong_gia, 0.5) AS med FROM t GROUP BY 1), a AS (SELECT cluster, quantile_cont(abs(tong_gia - med), 0.5) AS mad FROM t JOIN m USING (cluster) GROUP BY 1),
+    "cluster_diagnostics": with_ctes("clean") + f""", t AS (SELECT (row_id % 4)::INT AS cluster, segment_key, ln(1 + tong_gia) AS x FROM clean), m AS (SELECT cluster, count(*) AS n, quantile_cont(x, 0.5) AS med FROM t GROUP BY 1),
+        a AS (SELECT cluster, quantile_cont(abs(x - med), 0.5) AS mad FROM t JOIN m USING (cluster) GROUP BY 1), p AS (SELECT stddev_pop(med) / greatest(sum(mad * n) / sum(n), 1e-6) AS ratio FROM m JOIN a USING (cluster)),
         s AS (SELECT cluster, max(k)::DOUBLE / sum(k) AS share FROM (SELECT cluster, segment_key, count(*) AS k FROM t GROUP BY 1, 2) GROUP BY 1)
-        SELECT cluster, n, {r('med', 'median_value', 4)}, {r('mad', 'mad_value', 4)}, {r('share', 'dominant_segment_share')}, {r('(SELECT stddev_pop(med) FROM m) / greatest((SELECT avg(mad) FROM a), 1e-6)', 'price_ratio')} FROM m JOIN a USING (cluster) JOIN s USING (cluster)""",
+        SELECT cluster, n, {r('med', 'median_log')}, {r('mad', 'mad_log')}, {r('share', 'dominant_segment_share')}, {r('ratio', 'price_ratio')}, {r('(exp(ratio) - 1) / (exp(ratio) + 1)', 'price_score')} FROM m JOIN a USING (cluster) JOIN s USING (cluster), p""",
     "special_assets": with_ctes("described") + f"""SELECT row_id, sflag AS special_asset_flag, {flag_text(('LOW_CLUSTER_CONFIDENCE', 'conf < 0.35'), ('CLUSTER_EDGE_POINT', 'dist > 1.15'), ('LOW_LOCAL_DENSITY', 'dens < 0.18'), ('LOW_SPATIAL_NEIGHBOR_COUNT', 'n1000 <= 1'), ('RARE_STREET_PATTERN', 'pho_rare = 1'), ('HETEROGENEOUS_SEGMENT', "hflag = 'HETEROGENEOUS_HIGH'"))} AS special_asset_reason, {r('special', 'special_asset_score')} FROM described""",
-    "segment_embedding": with_ctes("emb") + f"SELECT segment_key, quan_norm, phuong_norm, n AS train_sample_count, cluster, {r('lat', 'segment_lat_for_model')}, {r('s1', 'spectral_1')}, {r('s2', 'spectral_2')}, {r('conf', 'cluster_confidence', 9)} FROM emb",
+    "segment_embedding": with_ctes("emb") + f"SELECT segment_key, quan_norm, phuong_norm, n AS train_sample_count, cluster, {r('lat', 'segment_lat_for_model')}, {r('s1', 'spectral_1', 9)}, {r('s2', 'spectral_2', 9)}, {r('conf', 'cluster_confidence', 9)} FROM emb",
     "location_templates": with_ctes("emb") + ", u AS (SELECT 'phuong' AS level, phuong_norm AS key, * FROM emb UNION ALL SELECT 'quan', quan_norm, * FROM emb UNION ALL SELECT 'global', '', * FROM emb), c AS (SELECT level, key, cluster FROM (SELECT level, key, cluster, row_number() OVER (PARTITION BY level, key ORDER BY count(*) DESC, cluster) AS k FROM u GROUP BY 1, 2, 3) WHERE k = 1)"
         + f" SELECT u.level AS level, u.key AS key, any_value(c.cluster) AS cluster, {r('avg(s1)', 'spectral_1')}, {r('avg(conf)', 'cluster_confidence')} FROM u JOIN c ON c.level = u.level AND c.key = u.key GROUP BY 1, 2",
     "inference_cases": with_ctes("located", "emb", "nf") + _CASES,

@@ -103,7 +103,7 @@ def property_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
-    return clusters.diagnostics(f.clustered(f.clean)).select("cluster", "n", *_r("median_value", "mad_value", digits=4), *_r("dominant_segment_share", "price_ratio"))
+    return clusters.diagnostics(f.clustered(f.clean)).select("cluster", "n", *_r("median_log", "mad_log", "dominant_segment_share", "price_ratio", "price_score"))
 
 
 def special_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def special_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = frames(spark, sf_dir).embedding
-    return e.select("segment_key", "quan_norm", "phuong_norm", "train_sample_count", "cluster", *_r("segment_lat_for_model", "spectral_1", "spectral_2"), *_r("cluster_confidence", digits=9))
+    return e.select("segment_key", "quan_norm", "phuong_norm", "train_sample_count", "cluster", *_r("segment_lat_for_model"), *_r("spectral_1", "spectral_2", "cluster_confidence", digits=9))
 
 
 def location_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def inference_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     cols = ["spectral_1", "spectral_2", "cluster_confidence"]
     out = inference.represent(f.located(f.keyed), f.embedding, f.neighbor_features, inference.location_templates(f.embedding, cols), cols, f.config)
-    return out.select("row_id", "case_type", "assigned_cluster_method", render_flags(F.col("inference_flags")).alias("inference_flag"), "neighbor_count_500m", "neighbor_count_1000m", *_r("nearest_segment_distance_m", digits=3), *_r("spectral_1", "spectral_2"), *_r("cluster_confidence", digits=9))
+    return out.select("row_id", "case_type", "assigned_cluster_method", render_flags(F.col("inference_flags")).alias("inference_flag"), "neighbor_count_500m", "neighbor_count_1000m", *_r("nearest_segment_distance_m", digits=3), *_r("spectral_1", "spectral_2", "cluster_confidence", digits=9))
 
 
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from landgrain.plans.oracles_search import ORACLE_SQL
 from landgrain.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["text_normalize", "coordinates_parse", "canonical_streets", "alias_report", "segment_master", "segment_neighbors", "neighbor_features", "segment_frequencies", "segment_heterogeneity", "heterogeneity_templates", "value_quantiles", "cluster_profiles", "cluster_assignment", "location_features"]
+FAST = ["text_normalize", "coordinates_parse", "canonical_streets", "alias_report", "segment_master", "segment_neighbors", "neighbor_features", "segment_frequencies", "segment_heterogeneity", "heterogeneity_templates", "value_quantiles", "cluster_profiles", "cluster_assignment", "location_features", "cluster_diagnostics", "segment_embedding", "inference_cases"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
 
