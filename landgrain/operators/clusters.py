@@ -66,6 +66,12 @@ def special_assets(rows: DataFrame) -> DataFrame:
     return out.withColumns({"special_asset_flag": F.when(s >= 0.70, "SPECIAL_HIGH").when(s >= 0.45, "SPECIAL_MEDIUM").otherwise("MAIN_MARKET"), "special_asset_reasons": reasons})
 
 
+def segment_shares(rows: DataFrame) -> DataFrame:
+    """Per cluster: the share of its rows that are of its commonest segment."""
+    counts = rows.groupBy("cluster", "segment_key").agg(F.count(F.lit(1)).alias("k"))
+    return counts.withColumn("share", F.col("k") / F.sum("k").over(Window.partitionBy("cluster"))).groupBy("cluster").agg(F.max("share").alias("dominant_segment_share"))
+
+
 def diagnostics(rows: DataFrame) -> DataFrame:
     """Per cluster: rows, median and median absolute deviation of log1p of the value, share of its commonest segment.
 
@@ -75,7 +81,6 @@ def diagnostics(rows: DataFrame) -> DataFrame:
     logs = rows.withColumn("__log", F.log1p("tong_gia"))
     m = logs.groupBy("cluster").agg(quantile("__log", 0.5).alias("median_log"), F.count(F.lit(1)).alias("n"))
     mad = logs.join(F.broadcast(m), "cluster").groupBy("cluster").agg(quantile(F.abs(F.col("__log") - F.col("median_log")), 0.5).alias("mad_log"))
-    share = rows.groupBy("cluster", "segment_key").agg(F.count(F.lit(1)).alias("k")).withColumn("share", F.col("k") / F.sum("k").over(Window.partitionBy("cluster"))).groupBy("cluster").agg(F.max("share").alias("dominant_segment_share"))
     own = m.join(mad, "cluster")
     ratio = own.agg((F.stddev_pop("median_log") / F.greatest(F.sum(F.col("mad_log") * F.col("n")) / F.sum("n"), F.lit(1e-6))).alias("price_ratio"))
-    return own.join(share, "cluster").join(F.broadcast(ratio)).withColumn("price_score", F.tanh(F.col("price_ratio") / 2))
+    return own.join(segment_shares(rows), "cluster").join(F.broadcast(ratio)).withColumn("price_score", F.tanh(F.col("price_ratio") / 2))

@@ -100,3 +100,27 @@ def test_models_run_the_whole_job(spark, monkeypatch):
     seen.clear()
     got = QUERIES["value_model"](spark, DATA).count()
     assert len(seen) == 1 and got > 0
+
+
+def test_choice_of_a_cluster_count(spark):
+    """Three well separated groups: their number is found, and the figures are those of plain code."""
+    import random
+    import statistics
+    from math import log1p, tanh
+
+    from landgrain.operators import graph
+
+    assert list(graph.candidate_counts(500, 10, 12)) == [3, 4, 5, 6, 7] and list(graph.candidate_counts(10, 1, 12)) == [3]
+    r = random.Random(5)
+    rows = [(i, [10.0 * (i % 3) + r.gauss(0, 0.1), r.gauss(0, 0.1)], f"s{i % 6}", 1e8 * 4 ** (i % 3) * r.uniform(0.9, 1.1)) for i in range(120)]
+    df = spark.createDataFrame(rows, "i long, vector array<double>, segment_key string, tong_gia double")
+    report = {x["n_clusters"]: x for x in graph.sweep(df, starts=3).collect()}
+    best = report[3]
+    assert best["selected"] and sum(x["selected"] for x in report.values()) == 1 and sorted(report) == [3, 4]
+    logs = [[log1p(x[3]) for x in rows if x[0] % 3 == k] for k in range(3)]
+    middle = [statistics.median(x) for x in logs]
+    within = statistics.fmean(statistics.median(abs(v - m) for v in x) for x, m in zip(logs, middle, strict=True))
+    assert best["price_separation_score"] == pytest.approx(tanh(statistics.pstdev(middle) / within / 2))
+    assert (best["min_cluster_size"], best["median_cluster_size"], best["max_cluster_size"]) == (40, 40, 40) and best["dominant_segment_share_mean"] == pytest.approx(0.5)
+    assert best["cluster_score"] == pytest.approx(0.32 * (best["silhouette_score"] + 1) / 2 + 0.28 * best["price_separation_score"] + 0.18 * best["mean_cluster_confidence"] + 0.12 + 0.10 * 0.5)
+    assert graph.sweep(df.limit(4)).collect()[0]["n_clusters"] == 2
