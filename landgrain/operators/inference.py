@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.geo import haversine_m
+from ..functions.geo import EARTH_M, haversine_m
 from ..functions.text import flags
+from ..sources.staging import staged
+from .clusters import assign
 
 
 def segment_embedding(train: DataFrame, spectral: list[str]) -> DataFrame:
@@ -25,22 +27,54 @@ def location_templates(embedding: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
+def _cells(rows: DataFrame, lat: str, lon: str, width_m: float) -> DataFrame:
+    """rows with the cube (cx, cy, cz) of space, width_m wide, that holds their point of the sphere."""
+    y, x = F.radians(lat), F.radians(lon)
+    xyz = {"cx": F.cos(y) * F.cos(x), "cy": F.cos(y) * F.sin(x), "cz": F.sin(y)}
+    return rows.withColumns({k: F.floor(v * EARTH_M / width_m) for k, v in xyz.items()})
+
+
+def _within(places: DataFrame, seg: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs of a place and a segment at most radius_m apart: points meet those of their own and the 26 cubes around."""
+    around = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    p = _cells(places, "segment_lat_for_model", "segment_lon_for_model", radius_m).withColumn("o", F.explode(around))
+    p = p.withColumns({"cx": F.col("cx") + F.col("o.x"), "cy": F.col("cy") + F.col("o.y"), "cz": F.col("cz") + F.col("o.z")}).drop("o")
+    d = haversine_m(F.col("segment_lat_for_model"), F.col("segment_lon_for_model"), F.col("y"), F.col("x"))
+    pairs = p.join(_cells(seg, "y", "x", radius_m), ["cx", "cy", "cz"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
+    return pairs.select("segment_lat_for_model", "segment_lon_for_model", "near_key", "distance_m")
+
+
 def nearest_segments(rows: DataFrame, embedding: DataFrame, config: Config = Config()) -> DataFrame:
     """For new segments with a coordinate (row_id, segment_lat_for_model, segment_lon_for_model): the train segments used.
 
     The radius is the first of the ladder with enough segments, else the largest; where even that is empty the nearest
-    top_k stand in. Rows are joined to segments, which are few: one row per street.
+    top_k stand in. Places meet segments by equi-joins on cells. Only places with an empty ladder look further, in cells
+    four times as wide each time, until they have top_k segments or the cells span the earth.
     """
+    place = ["segment_lat_for_model", "segment_lon_for_model"]
     seg = embedding.where("segment_lat_for_model is not null and segment_lon_for_model is not null").select(F.col("segment_key").alias("near_key"), F.col("segment_lat_for_model").alias("y"), F.col("segment_lon_for_model").alias("x"))
-    places = rows.select("segment_lat_for_model", "segment_lon_for_model").distinct()  # rows of one place share their work
-    d = haversine_m(F.col("segment_lat_for_model"), F.col("segment_lon_for_model"), F.col("y"), F.col("x"))
-    w = Window.partitionBy("segment_lat_for_model", "segment_lon_for_model")
-    pairs = places.join(F.broadcast(seg)).withColumn("distance_m", d)
-    last = config.max_radius_m
+    places = staged(rows.select(*place).where("segment_lat_for_model is not null and segment_lon_for_model is not null").distinct(), "places")  # rows of one place share their work
+    last, w = config.max_radius_m, Window.partitionBy(*place)
     used = F.coalesce(*[F.when(F.count_if(F.col("distance_m") <= r).over(w) >= config.min_comparables, F.lit(r)) for r in config.radii_m], F.lit(last))
-    pairs = pairs.withColumn("used_radius_m", used).withColumn("inside", F.col("distance_m") <= F.col("used_radius_m")).withColumn("n_inside", F.count_if("inside").over(w)).withColumn("rank", F.row_number().over(w.orderBy("distance_m", "near_key")))
-    kept = pairs.where(F.col("inside") | ((F.col("n_inside") == 0) & (F.col("rank") <= config.top_k)))
-    return kept.select("segment_lat_for_model", "segment_lon_for_model", "near_key", "distance_m", "used_radius_m", "n_inside", F.exp(-F.col("distance_m") / config.sigma_spatial_m).alias("weight"))
+    near = staged(_within(places, seg, last).withColumn("used_radius_m", used).where("distance_m <= used_radius_m").withColumn("n_inside", F.count(F.lit(1)).over(w)), "near")
+    rest, radius = places.join(near.select(*place).distinct(), place, "left_anti"), float(last)
+    while radius < 4 * EARTH_M and not (rest := staged(rest, "far")).isEmpty():
+        radius *= 4
+        found = staged(_within(rest, seg, radius).withColumn("rank", F.row_number().over(w.orderBy("distance_m", "near_key"))).withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("rank") <= config.top_k), "found")
+        whole = found if radius >= 4 * EARTH_M else found.where(F.col("n") >= config.top_k)
+        near = near.unionByName(whole.select(*place, "near_key", "distance_m", F.lit(last).alias("used_radius_m"), F.lit(0).cast("long").alias("n_inside")))
+        rest = rest.join(whole.select(*place).distinct(), place, "left_anti")
+    return near.withColumn("weight", F.exp(-F.col("distance_m") / config.sigma_spatial_m))
+
+
+def predict_cluster(rows: DataFrame, centers: list[tuple[int, list[float]]], spectral: list[str]) -> DataFrame:
+    """Represented rows with the cluster that their spectral coordinates are nearest to, its distance and confidence.
+
+    The confidence of the location fallback is halved.
+    """
+    out = assign(rows.drop("assigned_cluster", "cluster_confidence", "cluster_center_distance_raw").withColumn("__v", F.array(*spectral)), centers, "__v").drop("__v")
+    half = F.when(F.col("case_type").startswith("CASE_3"), 0.5).otherwise(1.0)
+    return out.withColumns({"cluster": F.col("assigned_cluster"), "cluster_confidence": F.col("cluster_confidence") * half})
 
 
 def represent(rows: DataFrame, embedding: DataFrame, neighbor_features: DataFrame, templates: DataFrame, columns: list[str], config: Config = Config()) -> DataFrame:

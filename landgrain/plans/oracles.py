@@ -126,6 +126,17 @@ SELECT l.row_id, CASE WHEN e.n IS NOT NULL THEN 'CASE_1_SEGMENT_IN_TRAIN' WHEN n
   {r('CASE WHEN e.n IS NOT NULL THEN e.conf WHEN n2.s1 IS NOT NULL THEN n2.conf ELSE coalesce(tw.conf, td.conf, tg.conf) * 0.5::DOUBLE END', 'cluster_confidence', 9)}
 FROM located l LEFT JOIN emb e USING (segment_key) LEFT JOIN nf USING (segment_key) LEFT JOIN n2 ON e.n IS NULL AND n2.lat = l.lat AND n2.lon = l.lon LEFT JOIN tw ON tw.phuong_norm = l.phuong_norm LEFT JOIN td ON td.quan_norm = l.quan_norm, tg"""
 
+
+def _cluster_cases() -> str:
+    """The cases' rows with the nearest of three fixed centres."""
+    ctes, last = _CASES.replace(", 9)", ", 15)").rsplit("\nSELECT l.row_id", 1)
+    at = ((0, 0.44, 0.37), (1, 0.49, 0.41), (2, 0.47, 0.46))
+    d = ", ".join(f"{{'d': sqrt(pow(spectral_1 - {x}::DOUBLE, 2) + pow(spectral_2 - {y}::DOUBLE, 2)), 'id': {k}}}" for k, x, y in at)
+    near = f"cs AS (SELECT l.row_id{last}), nr AS (SELECT row_id, case_type, list_sort([{d}]) AS c FROM cs)"
+    confidence = f"{clip01('1 - c[1].d / greatest(c[2].d, 1e-6)')} * CASE WHEN starts_with(case_type, 'CASE_3') THEN 0.5::DOUBLE ELSE 1 END"
+    return f"{ctes},\n{near}\nSELECT row_id, case_type, c[1].id::INT AS assigned_cluster, {r(confidence, 'cluster_confidence')}, {r('c[1].d', 'cluster_center_distance_raw')} FROM nr"
+
+
 ORACLE_SQL: dict[str, str] = {
     "text_normalize": f"SELECT doc_id, md5({norm('text')}) AS text_md5, {admin('source', 'quan')} AS admin FROM documents",
     "coordinates_parse": with_ctes("props") + "SELECT row_id, CASE WHEN row_id % 3 = 2 THEN NULL WHEN row_id % 3 = 0 THEN round(round(manual_lat * 1000000) / 1000000, 6) ELSE round(manual_lat, 6) END AS lat FROM props",
@@ -162,4 +173,5 @@ ORACLE_SQL: dict[str, str] = {
     "location_templates": with_ctes("emb") + ", u AS (SELECT 'phuong' AS level, phuong_norm AS key, * FROM emb UNION ALL SELECT 'quan', quan_norm, * FROM emb UNION ALL SELECT 'global', '', * FROM emb), c AS (SELECT level, key, cluster FROM (SELECT level, key, cluster, row_number() OVER (PARTITION BY level, key ORDER BY count(*) DESC, cluster) AS k FROM u GROUP BY 1, 2, 3) WHERE k = 1)"
         + f" SELECT u.level AS level, u.key AS key, any_value(c.cluster) AS cluster, {r('avg(s1)', 'spectral_1')}, {r('avg(conf)', 'cluster_confidence')} FROM u JOIN c ON c.level = u.level AND c.key = u.key GROUP BY 1, 2",
     "inference_cases": with_ctes("located", "emb", "nf") + _CASES,
+    "inference_clusters": with_ctes("located", "emb", "nf") + _cluster_cases(),
 }

@@ -107,7 +107,7 @@ ORACLE_SQL |= {
         SELECT segment_key AS row_id, coalesce(n, 0) AS road_count, coalesce(inc, 0) AS included_roads, coalesce(exc, 0) AS excluded_roads, CASE WHEN coalesce(inc, 0) = 0 THEN 'NO_ROAD_NOTE_MATCH' ELSE 'OK' END AS road_flag, {r('coalesce(mc, 0)', 'mean_match_confidence')}, {r(clip01('0.45::DOUBLE * least(1, coalesce(inc, 0) / 5.0::DOUBLE) + 0.35::DOUBLE * coalesce(mc, 0) + 0.20::DOUBLE * (coalesce(inc, 0) > 0)::INT - 0.10::DOUBLE * (coalesce(exc, 0) > coalesce(inc, 0))::INT'), 'road_evidence_confidence')} FROM rin LEFT JOIN s USING (segment_key)""",
     "knn_graph": with_ctes("gr") + f"SELECT i, j, {r('w', 'w')} FROM gr",
     "graph_density": with_ctes("gr") + f"SELECT i, {r(clip01('avg(w)'), 'density')} FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k FROM gr) WHERE k <= 8 GROUP BY i",
-    "hybrid_graph": with_ctes("gr", "vec") + f""", bo AS (SELECT g.i, g.j, g.w * CASE WHEN a.label = b.label THEN 1.2::DOUBLE ELSE 1 END AS w FROM gr g JOIN vec a ON a.i = g.i JOIN vec b ON b.i = g.j), bl AS (SELECT i, j, sum(w) AS w FROM (SELECT i, j, w * 0.7::DOUBLE AS w FROM gr UNION ALL SELECT i, j, w * 0.3::DOUBLE FROM bo UNION ALL SELECT i, i, 0.001::DOUBLE FROM vec) GROUP BY 1, 2),
+    "boosted_graph": with_ctes("gr", "vec") + f""", bo AS (SELECT g.i, g.j, g.w * CASE WHEN a.label = b.label THEN 1.2::DOUBLE ELSE 1 END AS w FROM gr g JOIN vec a ON a.i = g.i JOIN vec b ON b.i = g.j), bl AS (SELECT i, j, sum(w) AS w FROM (SELECT i, j, w * 0.7::DOUBLE AS w FROM gr UNION ALL SELECT i, j, w * 0.3::DOUBLE FROM bo UNION ALL SELECT i, i, 0.001::DOUBLE FROM vec) GROUP BY 1, 2),
         dg AS (SELECT i, sum(w) AS d FROM bl GROUP BY 1) SELECT bl.i AS i, bl.j AS j, {r('w / sqrt(a.d) / sqrt(b.d)', 'w')} FROM bl JOIN dg a ON a.i = bl.i JOIN dg b ON b.i = bl.j""",
     "graph_report": with_ctes("gr") + f"SELECT count(*) FILTER (i < j) AS edges, count(DISTINCT i) AS nodes, {r('sum(w)', 'total_weight', 4)} FROM gr",
     "cluster_assignment": with_ctes("vec") + f""", d AS (SELECT i, list_sort([{', '.join(f"{{'d': {c}, 'id': {k}}}" for k, c in enumerate(_CENTERS))}]) AS s FROM vec), a AS (SELECT i, s[1].id::INT AS k, s[1].d AS d1, s[2].d AS d2 FROM d), q AS (SELECT k, greatest(quantile_cont(d1, 0.75), 1e-6) AS sc FROM a GROUP BY 1)

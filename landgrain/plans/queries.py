@@ -9,6 +9,7 @@ from ..functions.stats import weighted_quantiles
 from ..functions.text import normalize_admin, normalize_text, parse_coordinate, render_flags
 from ..operators import clusters, comparables, confidence, diagnostics, features, graph, inference, model, roads, scaling, segments
 from ..sources.staging import staged
+from . import appraisal
 from .frames import Frames, frames
 
 
@@ -127,6 +128,15 @@ def inference_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", "case_type", "assigned_cluster_method", render_flags(F.col("inference_flags")).alias("inference_flag"), "neighbor_count_500m", "neighbor_count_1000m", *_r("nearest_segment_distance_m", digits=3), *_r("spectral_1", "spectral_2", "cluster_confidence", digits=9))
 
 
+def inference_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters predicted again for represented rows, with three fixed centres."""
+    f = frames(spark, sf_dir)
+    cols = ["spectral_1", "spectral_2", "cluster_confidence"]
+    out = inference.represent(f.located(f.keyed), f.embedding, f.neighbor_features, inference.location_templates(f.embedding, cols), cols, f.config)
+    out = inference.predict_cluster(out, [(0, [0.44, 0.37]), (1, [0.49, 0.41]), (2, [0.47, 0.46])], cols[:2])
+    return out.select("row_id", "case_type", "assigned_cluster", *_r("cluster_confidence", "cluster_center_distance_raw"))
+
+
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).scaled.select("row_id", *[F.round(F.col("core")[i], 6).alias(f"core_{i}") for i in range(8)], *[F.round(F.col("access")[i], 6).alias(f"access_{i}") for i in range(4)])
 
@@ -240,13 +250,30 @@ def graph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.local_density(graph.affinity(graph.knn(_vectors(spark, sf_dir), 10))).select("i", *_r("density"))
 
 
-def hybrid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boosted_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph blended with its label-boosted copy, normalised by degrees."""
     v = _vectors(spark, sf_dir)
     near = graph.affinity(graph.knn(v, 10))
     g = graph.blend({"feature": near, "access": graph.boost_same(near, v.select("i", "label"))}, {"feature": 0.7, "access": 0.3}, nodes=v)
     return graph.normalise(g).select("i", "j", *_r("w"))
 
 
+def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    train = frames(spark, sf_dir).scaled.where("split = 'train'")
+    v = appraisal.vectors(train, scaling.fit_location(train))
+    return v, graph.hybrid(v, frames(spark, sf_dir).config)
+
+
+def hybrid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blend of the feature, access, location and spatial graphs of all train rows."""
+    return _hybrid(spark, sf_dir)[1]["final"].select("i", "j", *_r("w"))
+
+
+def hybrid_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, graphs = _hybrid(spark, sf_dir)
+    return graph.hybrid_report(graphs, v, frames(spark, sf_dir).config.spectral_dim, frames(spark, sf_dir).config)
+
+
 def graph_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.report(graph.affinity(graph.knn(_vectors(spark, sf_dir), 10))).select("edges", "nodes", *_r("total_weight", digits=4))
 
@@ -305,8 +332,8 @@ QUERIES = {
     for f in (
         text_normalize, coordinates_parse, canonical_streets, alias_report, segment_master, segment_neighbors, neighbor_features, located_properties, segment_frequencies, engineered_features,
         segment_heterogeneity, heterogeneity_templates, property_heterogeneity, segment_bands, value_quantiles, cluster_profiles, property_clusters, cluster_diagnostics, special_assets,
-        segment_embedding, location_templates, inference_cases, scaled_features, location_features, comparable_radius, comparable_results, comparable_summaries, comparable_test_results, comparable_test_summaries, comparable_quality, confidence_scores, explanations,
-        group_errors, overall_errors, calibration, workflow_metrics, focus_row, map_inputs, road_evidence, road_summary, knn_graph, graph_density, hybrid_graph, graph_report, cluster_assignment, spectral_clusters,
+        segment_embedding, location_templates, inference_cases, inference_clusters, scaled_features, location_features, comparable_radius, comparable_results, comparable_summaries, comparable_test_results, comparable_test_summaries, comparable_quality, confidence_scores, explanations,
+        group_errors, overall_errors, calibration, workflow_metrics, focus_row, map_inputs, road_evidence, road_summary, knn_graph, graph_density, boosted_graph, hybrid_graph, hybrid_report, graph_report, cluster_assignment, spectral_clusters,
         cluster_sweep, value_model, out_of_fold, ablation,
     )
 }

@@ -9,7 +9,7 @@ from landgrain.plans.oracles_search import ORACLE_SQL
 from landgrain.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["text_normalize", "coordinates_parse", "canonical_streets", "alias_report", "segment_master", "segment_neighbors", "neighbor_features", "segment_frequencies", "segment_heterogeneity", "heterogeneity_templates", "value_quantiles", "cluster_profiles", "cluster_assignment", "location_features", "cluster_diagnostics", "segment_embedding", "inference_cases"]
+FAST = ["text_normalize", "coordinates_parse", "canonical_streets", "alias_report", "segment_master", "segment_neighbors", "neighbor_features", "segment_frequencies", "segment_heterogeneity", "heterogeneity_templates", "value_quantiles", "cluster_profiles", "cluster_assignment", "location_features", "cluster_diagnostics", "segment_embedding", "inference_cases", "inference_clusters", "knn_graph", "graph_density", "boosted_graph", "graph_report"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
 
@@ -124,3 +124,81 @@ def test_choice_of_a_cluster_count(spark):
     assert (best["min_cluster_size"], best["median_cluster_size"], best["max_cluster_size"]) == (40, 40, 40) and best["dominant_segment_share_mean"] == pytest.approx(0.5)
     assert best["cluster_score"] == pytest.approx(0.32 * (best["silhouette_score"] + 1) / 2 + 0.28 * best["price_separation_score"] + 0.18 * best["mean_cluster_confidence"] + 0.12 + 0.10 * 0.5)
     assert graph.sweep(df.limit(4)).collect()[0]["n_clusters"] == 2
+
+
+def test_hybrid_graph_is_the_blend_of_four(spark):
+    """The four graphs and their blend against numpy, over several blocks."""
+    import numpy as np
+
+    from landgrain.config import Config
+    from landgrain.operators import graph
+
+    r, n = np.random.default_rng(3), 90
+    core, access, location = r.normal(size=(n, 8)), r.integers(0, 3, (n, 4)).astype(float), r.integers(0, 2, (n, 6)).astype(float)
+    at = [None if i % 10 == 0 else (10.8 + r.uniform(0, 0.02), 106.6 + r.uniform(0, 0.02)) for i in range(n)]
+    rows = [(i, core[i].tolist(), access[i].tolist(), location[i].tolist(), *(at[i] or (None, None))) for i in range(n)]
+    df = spark.createDataFrame(rows, "i long, core array<double>, access array<double>, location array<double>, lat double, lon double")
+
+    def affinity(x, ids, k):
+        m, near = np.zeros((n, n)), []
+        for a in range(len(ids)):
+            d = sorted((float(np.sqrt(((x[a] - x[b]) ** 2).sum())), ids[b]) for b in range(len(ids)) if b != a)[:k]
+            near += [(ids[a], b, v) for v, b in d]
+        sigma = np.median([v for _, _, v in near if v > 0])
+        for a, b, v in near:
+            m[a, b] = np.exp(-v * v / (2 * sigma**2))
+        return (m + m.T) / 2
+
+    has = [i for i in range(n) if at[i]]
+    middle = np.median([at[i][0] for i in has])
+    plane = np.array([(at[i][0] * 110_540, at[i][1] * 111_320 * np.cos(np.radians(middle))) for i in has])
+    want = {"feature": affinity(core, range(n), 25), "access": affinity(access, range(n), 20), "location": affinity(location, range(n), 20), "spatial": affinity(plane, has, 25)}
+    alpha = Config().alpha
+    want["final"] = sum(alpha[k] * m for k, m in want.items()) + np.eye(n) * 1e-3
+    old, graph.BLOCK_ROWS = graph.BLOCK_ROWS, 40
+    try:
+        got = graph.hybrid(df)
+    finally:
+        graph.BLOCK_ROWS = old
+    for name, m in want.items():
+        g = np.zeros((n, n))
+        for e in got[name].collect():
+            g[e["i"], e["j"]] = e["w"]
+        assert np.allclose(g, m, atol=1e-9), name
+    report = graph.hybrid_report(got, df, 6).first()
+    assert report["train_rows"] == n and report["final_edges"] == np.count_nonzero(want["final"]) // 2 and report["n_neighbors_access"] == 20 and len(report) == 15
+    # the distributed embedding spans the same vectors as the dense one
+    a, b = ({x["i"]: x["vector"] for x in graph.spectral(got["final"], 4, dense).collect()} for dense in (1000, 10))
+    assert all(np.allclose(a[i], b[i], atol=1e-5) for i in range(n))
+
+
+def test_fit_save_load_apply_and_stream(spark, tmp_path):
+    """Train rows are clustered and fitted, everything is saved and loaded, test rows are appraised, in a batch and as a stream."""
+    from dataclasses import replace
+
+    from landgrain.config import Config
+    from landgrain.operators import graph
+    from landgrain.plans import appraisal
+    from landgrain.plans.frames import frames
+    from landgrain.sources import artifacts
+    from landgrain.streaming import appraise
+
+    config = replace(Config(), model_iterations=2)
+    f = frames(spark, DATA)
+    tables, fitted = appraisal.fit(f.train, f.keyed, config, starts=2)
+    k = graph.cluster_count(f.train.select("segment_key").distinct().count())
+    assert tables["centers"].count() == k == tables["profiles"].count()
+    assert tables["candidates"].where("cluster_confidence is null or spectral_2 is null or local_embedding_density is null").isEmpty()
+    artifacts.save(str(tmp_path / "saved"), tables, fitted, config)
+    tables, fitted, config = artifacts.load(spark, str(tmp_path / "saved"))
+    test = f.keyed.where("split = 'test'")
+    done = appraisal.apply(test, tables, fitted, config)
+    rows = {r["row_id"]: r for r in done.select("row_id", "predicted", "cluster", "cluster_confidence", "confidence_score", "explanation_text").collect()}
+    assert len(rows) == test.count() and all(r["predicted"] > 0 and 0 <= r["cluster"] < k and 0 <= r["confidence_score"] <= 1 and r["explanation_text"] for r in rows.values())
+    test.repartition(1).write.parquet(str(tmp_path / "incoming"))
+    stream = spark.readStream.schema(test.schema).parquet(str(tmp_path / "incoming"))
+    q = appraise.start(stream, tables, fitted, str(tmp_path / "out"), str(tmp_path / "state"), config)
+    q.processAllAvailable()
+    q.stop()
+    streamed = {r["row_id"]: r["predicted"] for r in spark.read.parquet(str(tmp_path / "out")).select("row_id", "predicted").collect()}
+    assert streamed.keys() == rows.keys() and all(streamed[i] == pytest.approx(rows[i]["predicted"]) for i in rows)
