@@ -89,16 +89,19 @@ def _syndrome(block: Column, code: int) -> Column:
 
 
 def chains(fps: DataFrame) -> DataFrame:
-    """a, b: links between neighbours in the orders of CHAINS; as many as orders times fingerprints at most."""
-    out = None
-    for first, bits in CHAINS:
-        mask = ((1 << bits) - 1) << first
-        mask -= (mask >> 63) << 64
-        order = Window.partitionBy(F.col("fp").bitwiseAND(F.lit(mask))).orderBy(F.col("fp").bitwiseAND(F.lit(~mask)))
-        near = fps.select("fp", F.lag("fp").over(order).alias("prev")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("prev"))) <= THRESHOLD)
-        near = near.select(F.col("prev").alias("a"), F.col("fp").alias("b"))
-        out = near if out is None else out.unionAll(near)
-    return out
+    """a, b: from the first fingerprint of every run of near neighbours in the orders of CHAINS to each other one of the run.
+
+    As many as orders times fingerprints at most. A run is a star and not a path, so that its label needs no rounds of jumps.
+    """
+    masks = [((1 << bits) - 1) << first for first, bits in CHAINS]
+    masks = [m - ((m >> 63) << 64) for m in masks]
+    orders = F.array(*[F.struct(F.lit(n).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("same"), F.col("fp").bitwiseAND(F.lit(~m)).alias("rest")) for n, m in enumerate(masks)])
+    order = Window.partitionBy("o.n", "o.same").orderBy("o.rest")
+    rows = fps.select("fp", F.explode(orders).alias("o"))
+    near = F.coalesce(F.bit_count(F.col("fp").bitwiseXOR(F.lag("fp").over(order))) <= THRESHOLD, F.lit(False))
+    runs = rows.withColumn("start", F.when(~near, F.col("fp")))
+    head = F.last("start", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return runs.select(head.alias("a"), F.col("fp").alias("b")).where("a <> b")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -142,7 +145,8 @@ def components(edges: DataFrame) -> DataFrame:
     Minimum labels with pointer jumping; each round is written out, so the plan stays short and a lost
     executor repeats one round at most. Nothing but the count of changes comes to the driver.
     """
-    both = materialise(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # edges are computed once
+    both = materialise(edges.select(F.explode(ways).alias("e")).select("e.*"), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
     while True:
         seen = both.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
