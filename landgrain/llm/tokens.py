@@ -31,7 +31,7 @@ BLOCK_IDS = 1 << 20
 #: Pre-tokens whose ids an encoder remembers; beyond, it keeps those of the texts at hand
 CACHE = 1_000_000
 #: Text bytes that are encoded together
-TOGETHER = 12 << 20
+TOGETHER = 3 << 20
 
 _LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1
 
@@ -229,6 +229,7 @@ def _write(path: str | None, end: int, block: int):
                 if held >= block:
                     yield close()
                     before, held, docs, counts, ids = before + held, 0, [], [], []
+            pa.default_memory_pool().release_unused()  # a worker lives as long as its executor
         if docs:
             yield close()
 
