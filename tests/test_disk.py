@@ -65,7 +65,7 @@ def test_judged_carries_no_vectors(fresh):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["explanations"])
+@pytest.mark.parametrize("name", ["explanations", "focus_row"])
 def test_judged_rows_are_not_written(spark, fresh, name, monkeypatch):
     """Each reader joins what it uses: the joined rows are on disk once at most, in the shuffle, and not in a table beside it."""
     written = []
