@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import weighted_quantiles
 from ..functions.text import normalize_admin, normalize_text, parse_coordinate, render_flags
 from ..operators import clusters, comparables, confidence, diagnostics, features, graph, inference, model, roads, scaling, segments
-from ..sources.staging import staged
+from ..sources.staging import staged, staged_parts
 from . import appraisal
 from .frames import Frames, frames
 
@@ -216,7 +216,9 @@ def workflow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def focus_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.focus_row(frames(spark, sf_dir).judged).select("row_id", *_r("confidence_score"))
+    """The first of the firsts of parts, so that a part's rows are in shuffles at a time."""
+    firsts = (diagnostics.focus_row(part.select("row_id", "confidence_score", "warning_flags")) for part in frames(spark, sf_dir).judged_parts())
+    return diagnostics.focus_row(staged_parts(firsts, "focus")).select("row_id", *_r("confidence_score"))
 
 
 def map_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:

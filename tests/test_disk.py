@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from landgrain.operators import comparables
 from landgrain.plans import frames, queries
 from landgrain.plans.frames import JUDGED, Frames
-from landgrain.sources.staging import CLEANUP, staged
+from landgrain.sources.staging import CLEANUP, staged, staged_parts
 
 DATA = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -74,3 +74,57 @@ def test_judged_rows_are_not_written(spark, fresh, name, monkeypatch):
     vars(fresh).pop("judged", None)
     assert queries.QUERIES[name](spark, DATA).count() == (1 if name == "focus_row" else fresh.train.count())
     assert "judged" not in written
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    """The smallest tables in four rounds."""
+    monkeypatch.setattr(comparables, "QUERIES", 32)
+
+
+@needs_tables
+def test_a_round_of_the_search_shuffles_a_share_of_the_rows(spark, fresh, rounds, monkeypatch):
+    """The rounds' rows together are all rows, no round has most of them, and what they find is what one meeting of all finds."""
+    train = fresh.scaled.where("split = 'train'")
+    met = comparables.meeting(train, train.where("tong_gia > 0"), fresh.embedding, fresh.config)
+    seen = []
+
+    def found(m, *args, of=comparables.found):
+        seen.append((m.left.count(), m.right.count()))
+        return of(m, *args)
+
+    monkeypatch.setattr(comparables, "found", found)
+    got = comparables.measures(met, fresh.config)
+    monkeypatch.undo()
+    assert len(seen) == 4
+    for n, side in zip(zip(*seen), (met.left, met.right)):
+        assert sum(n) == side.count() and max(n) < 0.6 * sum(n)
+    want = comparables.found(met, fresh.config).drop("best")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@needs_tables
+def test_focus_row_of_parts_is_that_of_all(spark, rounds, monkeypatch):
+    f, written = Frames(spark, DATA), []
+    monkeypatch.setattr(queries, "frames", lambda *_: f)
+    monkeypatch.setattr(queries, "staged_parts", lambda parts, label: staged_parts((written.append(p.count()) or p for p in parts), label))
+    assert f.meeting.rounds == 4
+    got = queries.focus_row(spark, DATA).collect()
+    assert written == [1] * 4
+    assert got == queries.diagnostics.focus_row(f.judged).select("row_id", F.round("confidence_score", 6).alias("confidence_score")).collect()
+    assert sum(p.count() for p in f.judged_parts()) == f.judged.count() == f.train.count()
+
+
+@needs_tables
+def test_what_follows_from_a_row_is_not_written(spark, monkeypatch):
+    """Scores and logarithms of a row's own columns compress badly; they are the same when made by the reader."""
+    f, written = Frames(spark, DATA), {}
+    monkeypatch.setattr(frames, "staged", lambda df, label: written.update({label: df.columns}) or staged(df, label))
+    monkeypatch.setattr(comparables, "staged_parts", lambda parts, label: (written.update({label: (parts := list(parts))[0].columns}), staged_parts(parts, label))[1])
+    f.summaries
+    assert not {"special_asset_score", "special_asset_reasons", "log_tong_gia", "cluster", "core"} & set(written["described"])
+    assert not {"band_confidence", "comparable_confidence", "weighted_band_width_ratio", "best"} & set(written["measures"])
+    want = f.described(f.keyed)
+    columns = sorted(want.columns)
+    assert columns == sorted(set(f.scaled.columns) - {"core", "access"})
+    assert sorted(map(str, f.scaled.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
