@@ -54,6 +54,7 @@ def clustered(rows: DataFrame, components: DataFrame, config: Config = Config(),
     """Scaled rows with spectral columns, cluster, confidence, raw distance and density; the graphs' report; the centres."""
     v = vectors(rows, components)
     graphs = graph.hybrid(v, config)
+    graphs["final"] = staged(graphs["final"], "final")
     x = staged(graph.spectral(graphs["final"], config.spectral_dim), "spectral")
     dim = x.select(F.size("vector")).first()[0]
     segments_seen, = rows.agg(F.count_distinct("segment_key")).first()
